@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from verdigris.llm.kd_shards import op4_kd_shards
+from verdigris.llm.packing import op8_best_fit_packing
 from verdigris.llm.token_counts import op1_token_counts
+from verdigris.llm.url_trie import OP7_SQL, op7_url_trie
 
-QUERIES = {"op1_token_counts": op1_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_kd_shards": op4_kd_shards,
+    "op7_url_trie": op7_url_trie,
+    "op8_best_fit_packing": op8_best_fit_packing,
+}
+ORACLE_SQL: dict[str, str] = {"op7_url_trie": OP7_SQL}
