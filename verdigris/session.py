@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,22 @@ def build_session(app: str = "verdigris", master: str | None = None, **conf: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that Python workers can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verdigris_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="verdigris-")) / "verdigris.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, str(f.relative_to(home.parent)))
+    sc.addPyFile(str(to))
+    sc._verdigris_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -61,6 +78,7 @@ def forget(df: DataFrame) -> None:
 
 def local_arrow_rows(spark: SparkSession, most: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts fit a small Python worker."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:
         spark.conf.set(key, str(most))
