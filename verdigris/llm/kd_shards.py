@@ -7,7 +7,7 @@ a node's key range is split into ``bins``, the bin holding the median again, and
 a level are handled in the same jobs over a table of metadata, and no text is ever shuffled.
 
 A key is a dimension's rank (20 bits of its range) followed by 42 bits of the group, so equal texts are neighbours: a
-group stays in one shard unless it outweighs the tolerance, when its rows are split by document. Null texts and
+group stays in one shard unless it outweighs ten times the tolerance, when its rows are split by document. Null texts and
 metadata count as empty. Repeated rows are items each by itself; a table with fewer rows than shards leaves some empty.
 """
 
@@ -201,7 +201,7 @@ def _narrow(n: Node, s: Search, sums: list[tuple[int, int]], bins: int, slack: f
             s.left += w
             continue
         at = s.lo + k * width
-        if w <= slack or width == 1 and s.by_row:
+        if w <= slack or width == 1 and (s.by_row or w <= 10 * slack):
             edge = at if s.want - s.left < s.left + w - s.want else at + width
             if s.by_row:
                 n.row_cut = edge
