@@ -6,8 +6,8 @@ exclamation marks and digits, the rate of obfuscated words (lexicon words only a
 letters they stand for), repetition of words, and length. Labels, language, source and doc_id are never features.
 
 The learned words, the trees and the calibration are fitted on a bounded sample of labelled rows: the ``most_labels``
-(20,000) whose documents have the smallest hashes. Every fifth of them calibrates, the others grow trees on histograms
-of quantile bins, in numpy on the driver. Scoring reads every whole text, in Arrow batches, without a shuffle.
+(20,000) whose documents have the smallest hashes. Trees are grown on histograms of quantile bins, in numpy on the driver;
+the calibration is fitted on scores that each fifth gets from trees grown without it. Scoring reads every whole text, in Arrow batches, without a shuffle.
 
 Null and empty texts have all features zero and the score of such rows. Repeated label rows of a document count once, as
 toxic if any says so. Without usable labels of both kinds the score is the share of lexicon words, doubled, at most 1.
@@ -26,8 +26,8 @@ from verdigris.session import load, local_arrow_rows
 
 LEXICON = (
     "idiot idiots stupid moron morons loser losers pathetic worthless scum trash garbage disgusting clown fool fools dumb dumbass imbecile cretin jerk creep "
-    "pig pigs rat vermin filth filthy bastard bastards coward cowards liar ugly freak freaks lunatic psycho retard retarded brainless useless despicable "
-    "hate hated hateful shut kill die crap damn hell shit bullshit fuck fucking fucker asshole bitch bitches slut whore piss dick prick cunt wanker twat "
+    "pig pigs vermin filth filthy bastard bastards coward cowards liar ugly freak freaks lunatic psycho retard retarded brainless useless despicable "
+    "hate hated hateful shut kill crap damn shit bullshit fuck fucking fucker asshole bitch bitches slut whore piss prick cunt wanker twat "
     "salope connard idiote imbecile dummkopf trottel arschloch idioten pendejo estupido estupida basura imbecil"
 ).split()
 SECOND = "you your yours yourself yourselves ya ur u tu toi vous votre vos ton ta tes du dich dir dein deine ihr euch euer usted ustedes ti tus vosotros".split()
@@ -104,7 +104,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, near: i
 class Trees:
     """Boosted trees on logistic loss, grown by level on histograms."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 20.0, penalty: float = 1.0):
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0, penalty: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.penalty = rounds, depth, rate, bins, least, penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_labels: int = 2
     return _fit(docs, rows, np.array(sorted(rows), np.int64))
 
 
-def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray) -> Model:
+def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray, folds: int = 5) -> Model:
     """Two passes over the sampled documents: their words by label, then their features."""
     if len(set(rows.values())) < 2:
         return Model(np.zeros(0, np.uint64), None, None)
@@ -229,11 +229,12 @@ def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray) -> Model:
     table = docs.select("doc_id", "text").mapInArrow(T.scan(described), "doc_id long, y long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
     table = table.sort_values(["doc_id", *NAMES], ignore_index=True)
     x, y = table[NAMES].to_numpy(), table["y"].to_numpy()
-    hold = np.arange(len(y)) % 5 == 0
-    if len(set(y[~hold].tolist())) < 2 or len(set(y[hold].tolist())) < 2:
-        return Model(learned, None, None)
-    trees = Trees().fit(x[~hold], y[~hold])
-    return Model(learned, trees, isotonic(trees.raw(x[hold]), y[hold].astype(float)))
+    fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
+    for k in range(folds):
+        if len(set(y[fold != k].tolist())) < 2:
+            return Model(learned, None, None)
+        out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
+    return Model(learned, Trees().fit(x, y), isotonic(out, y.astype(float)))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
