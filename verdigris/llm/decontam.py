@@ -245,7 +245,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_i
     their words in occurring windows, are dropped; from the others the spans are cut out. Columns as before; n_chars, where
     there is one, follows the text."""
     columns = docs.columns
-    found = benchmark_matches(docs, benchmark, window, keep=tuple(columns))
+    # other columns may have the names of the matches: they travel under numbers
+    number = {c: f"_c{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text", "n_chars")}
+    found = benchmark_matches(docs.withColumnsRenamed(number), benchmark, window, keep=tuple(number.get(c, c) for c in columns))
     kept = found.filter((F.size("items") <= most_items) & (hit_words() <= most_coverage * F.col("n_words")))
     raw = F.expr("""concat_ws('', transform(sequence(0, size(spans)), i -> decode(
         substring(encode(text, 'utf-8'), cast(if(i = 0, 0, spans[i - 1].stop) + 1 as int),
@@ -253,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_i
     out = kept.withColumn("text", F.when(F.size("spans") > 0, raw).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return out.select(*[F.col(number.get(c, c)).alias(c) for c in columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

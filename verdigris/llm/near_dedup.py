@@ -151,16 +151,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return current.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
 
 
-def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, set`` of the documents in ``ids``. A bitmap of hashed ids, of bounded size, thins the scan first."""
-    spark = docs.sparkSession
-    n = ids.count()
-    words = 1 << min(22, max(12, (n * 16 // 64).bit_length()))
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, at most 32 MB however many there are: no id is missed, some others may pass."""
+    words = 1 << min(22, max(12, (ids.count() * 16 // 64).bit_length()))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(words * 64))
     rows = ids.select(h.alias("h")).groupBy((F.shiftright("h", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
     bitmap = np.zeros(words, np.uint64)
     bitmap[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, set`` of the documents in ``ids``; a bitmap thins the scan before the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap := bitmap_of(ids))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(len(bitmap) * 64))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         at = batch.column("h").to_numpy()
@@ -237,6 +241,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 32, rows: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """One document of each group, with all columns; rows without doc_id stay.
+
+    Only rows that may go or repeat a doc_id, told by a bitmap of their ids, are shuffled; the rest pass as they are read.
+    """
+    found = near_duplicates(docs, percent, bands, rows).filter("doc_id is not null")
+    suspects = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    suspects = materialize(suspects.select("doc_id", "kept"), "suspects")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap := bitmap_of(suspects))
+    bits = len(bitmap) * 64
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1))
+
+    maybe = hit(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+    some = docs.filter(maybe & F.col("doc_id").isNotNull())
+    gone, again = suspects.filter("NOT kept").select("doc_id"), suspects.filter("kept").select("doc_id")
+    left = some.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    others = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return docs.filter(~maybe | F.col("doc_id").isNull()).unionByName(others).unionByName(once)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 

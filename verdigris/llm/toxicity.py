@@ -237,18 +237,32 @@ def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray, folds: int = 5)
     return Model(learned, Trees().fit(x, y), isotonic(out, y.astype(float)))
 
 
-def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every document with its ``score``; no shuffle."""
+def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every document with its score, as ``name``; no shuffle."""
     local_arrow_rows(docs.sparkSession)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(*T.buffers(batch.column("text"))))], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(*T.buffers(batch.column("text"))))], [*keep, name])
 
     return source.mapInArrow(T.scan(work), schema)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where a column has it already."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def reject_toxic(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The documents that score below ``least``, with all their columns."""
+    name = free_name(docs, "score")
+    return toxicity_scores(docs, model, tuple(docs.columns), name).filter(F.col(name) < least).select(*docs.columns)
+
+
 def remainder(column: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 3; rows with 1 are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
