@@ -8,12 +8,14 @@ from verdigris.llm.licenses import op10_license_scan
 from verdigris.llm.near_dedup import OP3_SQL, op3_near_duplicates
 from verdigris.llm.order_minhash import op6_order_minhash
 from verdigris.llm.packing import op8_best_fit_packing
+from verdigris.llm.pitman_yor import op2_pitman_yor
 from verdigris.llm.token_counts import op1_token_counts
 from verdigris.llm.toxicity import op5_toxicity
 from verdigris.llm.url_trie import OP7_SQL, op7_url_trie
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_kd_shards": op4_kd_shards,
     "op5_toxicity": op5_toxicity,
