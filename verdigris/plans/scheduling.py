@@ -118,7 +118,7 @@ R = """WITH r AS (SELECT event_id AS request_id, ts, CASE WHEN event_type IN ('p
 _WRR = """, w(priority, weight) AS (VALUES (2, 5), (1, 3), (0, 1)),
 k AS (SELECT request_id, priority, row_number() OVER (PARTITION BY priority ORDER BY ts, request_id) - 1 AS lane_rank FROM r)
 SELECT request_id, priority, lane_rank, lane_rank // weight AS cycle, row_number() OVER (ORDER BY lane_rank // weight, priority DESC, lane_rank) - 1 AS dispatch_pos FROM k JOIN w USING (priority)"""
-_SNAP = """, t AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS at FROM r), x AS (SELECT priority, epoch_us(ts) <= at AS came, epoch_us(ts) <= at AND epoch_us(ts) + CAST(round(seconds * 1000 * 1000000) AS BIGINT) > at AS waiting FROM r, t),
+_SNAP = """, t AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS t0 FROM r), x AS (SELECT priority, epoch_us(ts) <= t0 AS came, epoch_us(ts) <= t0 AND epoch_us(ts) + CAST(round(seconds * 1000 * 1000000) AS BIGINT) > t0 AS waiting FROM r, t),
 s AS (SELECT count(*) FILTER (waiting AND priority = 2) AS high, count(*) FILTER (waiting AND priority = 1) AS normal, count(*) FILTER (waiting AND priority = 0) AS low, count(*) FILTER (waiting) AS total, count(*) FILTER (came) AS enqueued FROM x)"""
 _TRY = """, l AS (SELECT *, request_id % 5 AS f, CASE WHEN event_type <> 'error' THEN 3 ELSE 1 END AS most FROM {}), a AS (SELECT priority, f, most, unnest(range(1, least(most, f + 1) + 1)) AS attempt FROM l)"""
 _FULL = """, k AS (SELECT request_id, priority, row_number() OVER (PARTITION BY priority ORDER BY ts, request_id) AS a, count(*) OVER (PARTITION BY priority) AS n FROM r) SELECT request_id, priority, {} AS kept FROM k"""
@@ -127,8 +127,8 @@ ORACLE_SQL = {
     "sched_wrr_orders_priority": "WITH r AS (SELECT o_orderkey AS request_id, o_orderdate AS ts, CASE WHEN o_orderpriority[1] <= '2' THEN 2 WHEN o_orderpriority[1] = '3' THEN 1 ELSE 0 END AS priority FROM orders)" + _WRR,
     "sched_fair_order": R + """, k AS (SELECT *, row_number() OVER (PARTITION BY priority, partition_key ORDER BY ts, request_id) - 1 AS partition_rank FROM r)
 SELECT request_id, priority, partition_key, partition_rank, row_number() OVER (PARTITION BY priority ORDER BY partition_rank, partition_key) - 1 AS fair_pos FROM k""",
-    "sched_aging": R + """, t AS (SELECT max(epoch_us(ts)) AS at FROM r)
-SELECT request_id, priority, CAST(least(2, priority + greatest(0, CAST(floor((at - epoch_us(ts) - 3600000000) / 600000000.0) AS BIGINT) + 1)) AS INT) AS aged_priority FROM r, t""",
+    "sched_aging": R + """, t AS (SELECT max(epoch_us(ts)) AS t0 FROM r)
+SELECT request_id, priority, CAST(least(2, priority + greatest(0, CAST(floor((t0 - epoch_us(ts) - 3600000000) / 600000000.0) AS BIGINT) + 1)) AS INT) AS aged_priority FROM r, t""",
     "sched_idle_partitions": R + """, g AS (SELECT partition_key, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY partition_key ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS opens FROM r)
 SELECT partition_key, CAST(sum(opens) AS BIGINT) AS sessions, CAST(sum(opens) - 1 AS BIGINT) AS evictions, count(*) AS requests FROM g GROUP BY 1""",
     "sched_snapshot": R + _SNAP + " SELECT * FROM s",
