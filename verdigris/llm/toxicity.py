@@ -104,7 +104,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, near: i
 class Trees:
     """Boosted trees on logistic loss, grown by level on histograms."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0, penalty: float = 1.0):
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 2.0, penalty: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.penalty = rounds, depth, rate, bins, least, penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
