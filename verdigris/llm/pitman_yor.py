@@ -43,7 +43,7 @@ from verdigris.session import load, local_arrow_rows, materialize
 U = np.uint64
 END, BEGIN = U(0x1234567_89ABCDEF), U(0xFEDCBA98_7654321)
 #: A block's bytes of text and its documents, at most (one document at least).
-BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 60_000
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 60_000
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -129,9 +129,6 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
         part = TaskContext.get().partitionId()
         for k, b in enumerate(blocks(batches)):
             name = (part << 20) + k
-            before = np.empty(len(b.word), np.uint64)
-            before[1:] = b.word[:-1]
-            before[np.cumsum(b.size) - b.size] = BEGIN
             # few words are contexts: look each distinct one up once
             distinct, back = np.unique(b.word, return_inverse=True)
             of_word = _number(*context, distinct, other)
@@ -366,7 +363,7 @@ def _finish(n: int):
     return work
 
 
-def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 2_000_000) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 1_000_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     ``contexts``: at most 65,534, so that a context's number takes two bytes.
