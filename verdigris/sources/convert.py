@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.markdown import html_to_markdown, table
 from verdigris.functions.text import EXTENSION_MIME
 from verdigris.session import ship
+from verdigris.sources.chm import Chm
 
 Result = tuple[str, str | None]
 
@@ -391,6 +392,15 @@ def mobi(raw: bytes, info: Info) -> Result:
     return text, meta.get("full") or meta["name"] or title
 
 
+def chm(raw: bytes, info: Info) -> Result:
+    archive, out = Chm(raw), []
+    for path in archive.pages():
+        text = html_to_markdown(decode(archive.read(path) or b""))[0]
+        if text:
+            out.append(f"## {posixpath.splitext(posixpath.basename(path))[0]}\n\n{text}")
+    return "\n\n".join(out), archive.metadata().get("title")
+
+
 def pdf_pages(raw: bytes) -> tuple[list[list[str]], dict[str, str]]:
     """Text lines by page, from the show operators of content streams, and the document information."""
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) 0 obj(.*?)endobj", raw, re.S)}
@@ -435,6 +445,10 @@ def pdf(raw: bytes, info: Info) -> Result:
     return "\n\n".join(out), about.get("Title")
 
 
+#: Called with an image's bytes and type, if set; its caption is added, and its failures are ignored.
+captioner: Callable[[bytes, str], str | None] | None = None
+
+
 def image(raw: bytes, info: Info) -> Result:
     tags: list[tuple[str, object]] = []
     if raw[:8] == b"\x89PNG\r\n\x1a\n":
@@ -457,7 +471,12 @@ def image(raw: bytes, info: Info) -> Result:
             at += 2 + size
     else:
         raise Unsupported("unknown image format")
-    return "\n".join([f"## {kind}", *[f"- {k}: {v}" for k, v in tags]]), None
+    out = "\n".join([f"## {kind}", *[f"- {k}: {v}" for k, v in tags]])
+    try:
+        caption = captioner(raw, info.mime_type or "image/*") if captioner else None
+    except Exception:
+        caption = None
+    return out + (f"\n\n# Description\n\n{caption.strip()}" if caption and caption.strip() else ""), None
 
 
 def audio(raw: bytes, info: Info) -> Result:
@@ -560,6 +579,7 @@ for _name, _test, _fn, _priority in (
     ("image", _kind("jpg", "jpeg", "png", "gif", "bmp", mime="image/"), image, 0.0),
     ("epub", _kind("epub"), epub, 0.0),
     ("mobi", _kind("mobi", "azw", "azw3", "prc"), mobi, 0.0),
+    ("chm", lambda raw, i: _kind("chm")(raw, i) or raw[:4] == b"ITSF", chm, 0.0),
     ("msg", lambda raw, i: _kind("msg")(raw, i) or raw[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", outlook, 0.0),
     ("audio", _kind("mp3", "wav", "m4a", "flac", mime="audio/"), audio, 0.0),
     ("notebook", lambda raw, i: _kind("ipynb")(raw, i) or b'"nbformat"' in raw[:4096] and b'"nbformat_minor"' in raw[:4096], notebook, 0.0),
@@ -622,9 +642,29 @@ def book_metadata(raw: bytes, name: str) -> dict:
         m, _ = mobi_parts(raw)
         first = lambda c: next((v for v in m.get(c, []) if v), None)
         out |= {"format": "MOBI", "title": first(503) or m.get("full") or m["name"] or None, "authors": m.get(100, []), "publisher": first(101), "description": first(103), "isbn": first(104), "tags": m.get(105, []), "language": first(524)}
+    elif ext == "chm":
+        archive = Chm(raw)
+        m = archive.metadata()
+        text = "\n".join(decode(archive.read(p) or b"") for p in archive.pages()[:12])
+        meta = {}
+        for t in re.findall(r"(?is)<meta\b[^>]*>", text):
+            a = {k.lower(): v for k, _, v in re.findall(r"""([\w:-]+)\s*=\s*(["'])(.*?)\2""", t, re.S)}
+            meta.setdefault((a.get("name") or a.get("property") or a.get("http-equiv") or "").lower(), a.get("content"))
+        people = [p.strip() for p in re.split(r"; ?| and ", meta.get("author") or meta.get("dc.creator") or "") if p.strip()]
+        found = next((d for x in re.findall(r"(?i)ISBN(?:-1[03])?\s*[:#]?\s*([0-9X][0-9X\-\s]{8,20})", re.sub("<[^>]+>", " ", text)) if valid_isbn(d := re.sub("[^0-9X]", "", x.upper()))), None)
+        words = [p.strip() for p in re.split("[,;|]", meta.get("keywords") or "") if p.strip()]
+        tags = list({t.lower(): t for t in reversed([*archive.tags(), *words])}.values())[::-1]
+        out |= {"format": "CHM", "title": m.get("title") or html_to_markdown(text)[1], "authors": people, "publisher": meta.get("publisher"), "description": meta.get("description"), "language": m.get("language"), "isbn": found, "tags": tags}
     return {k: v for k, v in out.items() if v not in (None, [], "")}
 
 
+def valid_isbn(s: str) -> bool:
+    """Check digits of ISBN-10 and ISBN-13."""
+    if re.fullmatch("[0-9]{9}[0-9X]", s):
+        return sum((10 - i) * (10 if c == "X" else int(c)) for i, c in enumerate(s)) % 11 == 0
+    return bool(re.fullmatch("[0-9]{13}", s)) and sum((3 if i % 2 else 1) * int(c) for i, c in enumerate(s)) % 10 == 0
+
+
 BOOK = "path string, file_name string, format string, file_size_bytes long, title string, authors array<string>, publisher string, description string, language string, isbn string, page_count int, tags array<string>, error string"
 
 
@@ -643,5 +683,5 @@ def scan_books(files: DataFrame) -> DataFrame:
                     rows.append({"path": p, "file_name": posixpath.basename(p), "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n == "page_count" else object) for n in names})
 
-    wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("pdf", "epub", "mobi", "azw", "azw3", "prc")
+    wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("pdf", "epub", "mobi", "azw", "azw3", "prc", "chm")
     return files.select("path", "content").filter(wanted).mapInPandas(work, BOOK)
