@@ -44,6 +44,8 @@ U = np.uint64
 END, BEGIN = U(0x1234567_89ABCDEF), U(0xFEDCBA98_7654321)
 #: A block's bytes of text and its documents, at most (one document at least).
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 60_000
+#: Shares of scores are rounded to this part of one; a task adds up those of its ranges until they take so many bytes.
+FIXED, HELD_BYTES = 1 << 22, 32 << 20
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -305,11 +307,13 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shares(settings: dict, totals: dict[int, list[np.ndarray]]):
-    """Rows (block, g, blob): a range's share of the scores of a block's documents."""
+    """Rows (block, g, blob): shares of the scores of a block's documents, from the ranges up to g."""
     other, d, s, d0, s0, n, v = (settings[k] for k in ("other", "d", "s", "d0", "s0", "N", "V"))
     c_u = settings["c_u"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = g = 0
         for b in batches:
             for g, data, posted in zip(b.column("g").to_pylist(), b.column("data").to_pylist(), b.column("postings").to_pylist()):
                 w_of, u_of, c, dishes, extra, c_word, ms, roots, spread = _unpack(data)
@@ -330,20 +334,36 @@ def _shares(settings: dict, totals: dict[int, list[np.ndarray]]):
                 log_p = np.log10(p / len(totals))
                 log_base = np.log10((c_word + 1.0) / (n + v + 1.0))[w_of]
                 known = (c_word > 0)[w_of]
-                out = []
-                for name, step, size, doc, count, n_docs in _unpack(posted)[0]:
-                    e = np.repeat(np.cumsum(step, dtype=np.int64), size)
+                for name, step, times, doc, count, n_docs in _unpack(posted)[0]:
+                    e = np.repeat(np.cumsum(step, dtype=np.int64), times)
                     count = count.astype(float)
                     sums = [np.bincount(doc, count * x[e], n_docs) for x in (log_p, log_base, known)]
-                    touched = np.flatnonzero(np.bincount(doc, minlength=n_docs))
-                    out.append((name, _pack(_small(touched), sums[0][touched], sums[1][touched], _small(sums[2][touched].astype(np.int64)))))
-                for at in range(0, len(out), 64):
-                    names, blobs = zip(*out[at : at + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([g] * len(names), pa.int64()), pa.array(blobs, pa.binary())], ["block", "g", "blob"])
+                    if name in held:
+                        for x, y in zip(held[name], sums):
+                            x += y
+                    else:
+                        held[name] = sums
+                        size += 24 * n_docs
+                if size > HELD_BYTES:
+                    yield from _shown(held, g)
+                    held, size = {}, 0
+        yield from _shown(held, g)
 
     return work
 
 
+def _shown(held: dict[int, list[np.ndarray]], g: int) -> Iterator[pa.RecordBatch]:
+    """A task's shares of each block: documents touched, and sums in fixed point, which takes half a double's bytes."""
+    names = sorted(held)
+    for at in range(0, len(names), 64):
+        some, blobs = names[at : at + 64], []
+        for name in some:
+            score, base, known = held[name]
+            touched = np.flatnonzero((score != 0) | (base != 0) | (known > 0))
+            blobs.append(_pack(_small(np.diff(touched, prepend=0)), *(_small(np.rint(x[touched] * FIXED).astype(np.int64)) for x in (score, base)), _small(known[touched].astype(np.int64))))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([g] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["block", "g", "blob"])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -354,9 +374,10 @@ def _finish(n: int):
         ids, size = _unpack(blobs[int(order[0])].as_py())
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         for i in order[1:]:
-            at, a, b, k = _unpack(blobs[int(i)].as_py())
-            score[at] += a
-            base[at] += b
+            step, a, b, k = _unpack(blobs[int(i)].as_py())
+            at = np.cumsum(step, dtype=np.int64)
+            score[at] += a.astype(float) / FIXED
+            base[at] += b.astype(float) / FIXED
             known[at] += k
         return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(size.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -373,7 +394,7 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float =
     counts = materialize(word_counts(docs), "words")
     n, v, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     d0 = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else 0.5
-    ranges = max(1, min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / range_tokens))))
+    ranges = max(1, min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / range_tokens))))
     end = int(T.signed(np.array([END]))[0])
     top = counts.filter(F.col("w") != end).orderBy(F.desc("n"), "w").limit(min(contexts, 65_533)).collect()
     hashes = np.array([r["w"] for r in top], np.int64).view(np.uint64)
