@@ -2,8 +2,8 @@
 
 Each node is cut across its widest dimension (spread within the node over spread in the corpus) where the bytes on the
 left come to the share of leaves that go left. The weighted median is found from histograms that the executors add up:
-a node's key range is split into ``bins``, the bin holding the median again, and so on until that bin weighs less than
-``tolerance`` of a shard or is one group. Only nodes x bins sums reach the driver, whatever the corpus holds; all nodes of
+a node's key range is split into ``bins``, the keys of the bin holding the median again, and so on until that bin weighs
+less than ``tolerance`` of a shard or is one group. Only nodes x bins sums reach the driver, whatever the corpus holds; all nodes of
 a level are handled in the same jobs over a table of metadata, and no text is ever shuffled.
 
 A key is a dimension's rank (20 bits of its range) followed by 42 bits of the group, so equal texts are neighbours: a
@@ -70,10 +70,11 @@ def _arrays(batch: pa.RecordBatch, n_dims: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _histogram(cut: list[Node], open_nodes: dict[int, tuple[Node, Search]], n_dims: int, bins: int):
-    """Sums of size by node and bin of the search's range, added up within a task."""
+    """Sums of size, and least and greatest key, by node and bin of the search's range, within a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {i: np.zeros(bins, np.int64) for i in open_nodes}
+        top = np.iinfo(np.int64).max
+        sums = {i: (np.zeros(bins, np.int64), np.full(bins, top), np.full(bins, -1)) for i in open_nodes}
         for b in batches:
             keys, row, size = _arrays(b, n_dims)
             node = route(cut, keys, row)
@@ -84,10 +85,13 @@ def _histogram(cut: list[Node], open_nodes: dict[int, tuple[Node, Search]], n_di
                     own = v == n.cut
                     v, w = row[here][own], w[own]
                 inside = (v >= s.lo) & (v < s.hi)
-                np.add.at(sums[i], (v[inside] - s.lo) // _width(s, bins), w[inside])
-        for i, x in sums.items():
+                at = (v[inside] - s.lo) // _width(s, bins)
+                np.add.at(sums[i][0], at, w[inside])
+                np.minimum.at(sums[i][1], at, v[inside])
+                np.maximum.at(sums[i][2], at, v[inside])
+        for i, (x, lo, hi) in sums.items():
             some = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(x[some])], ["node", "bin", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), *(pa.array(a[some]) for a in (x, lo, hi))], ["node", "bin", "w", "lo", "hi"])
 
     return work
 
@@ -173,10 +177,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
                 n.dim = r["dim"]
                 open_nodes[n.id] = n, Search(r["lo"], r["hi"] + 1, 0, r["w"] * (n.leaves // 2) / n.leaves)
         while open_nodes:
-            sums: dict[int, list[tuple[int, int]]] = {}
-            for r in slim.mapInArrow(_histogram(cut, open_nodes, n_dims, bins), "node long, bin long, w long").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect():
-                sums.setdefault(r["node"], []).append((r["bin"], r["w"]))
-            open_nodes = {i: (n, s) for i, (n, s) in open_nodes.items() if _narrow(n, s, sorted(sums.get(i, [])), bins, slack)}
+            sums: dict[int, list[tuple]] = {}
+            found_bins = slim.mapInArrow(_histogram(cut, open_nodes, n_dims, bins), "node long, bin long, w long, lo long, hi long").groupBy("node", "bin")
+            for r in found_bins.agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+                sums.setdefault(r["node"], []).append(tuple(r)[1:])
+            open_nodes = {i: (n, s) for i, (n, s) in open_nodes.items() if _narrow(n, s, sorted(sums.get(i, [])), slack)}
         cut += level
         level = [c for n in level for c in (Node(2 * n.id, n.first, n.leaves // 2), Node(2 * n.id + 1, n.first + n.leaves // 2, n.leaves - n.leaves // 2))]
 
@@ -193,26 +198,24 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     return with_slots(materialize(items.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int"), "shards"))
 
 
-def _narrow(n: Node, s: Search, sums: list[tuple[int, int]], bins: int, slack: float) -> bool:
-    """Move the search to the bin with the median, or settle the node's cut; whether the search goes on."""
-    width = _width(s, bins)
-    for k, w in sums:
+def _narrow(n: Node, s: Search, sums: list[tuple[int, int, int, int]], slack: float) -> bool:
+    """Move the search to the keys of the bin with the median, or settle the node's cut; whether the search goes on."""
+    for _, w, lo, hi in sums:
         if s.left + w < s.want:
             s.left += w
             continue
-        at = s.lo + k * width
-        if w <= slack or width == 1 and (s.by_row or w <= 10 * slack):
-            edge = at if s.want - s.left < s.left + w - s.want else at + width
+        if w <= slack or lo == hi and (s.by_row or w <= 10 * slack):
+            edge = lo if s.want - s.left < s.left + w - s.want else hi + 1
             if s.by_row:
                 n.row_cut = edge
             else:
                 n.cut = edge
             return False
-        if width == 1:  # one heavy group: its rows are split
-            n.cut = at
+        if lo == hi:  # one heavy group: its rows are split
+            n.cut = lo
             s.lo, s.hi, s.by_row = 0, 1 << ROW_BITS, True
         else:
-            s.lo, s.hi = at, min(s.hi, at + width)
+            s.lo, s.hi = lo, hi + 1
         return True
     if s.by_row:
         n.row_cut = s.hi
