@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SLICE = 1 << 19
 #: Rows of a batch are handed on in runs of about this many bytes of text.
-RUN = 4 << 20
+RUN = 2 << 20
 
 
 def _class(chars: Iterable[int]) -> np.ndarray:
@@ -158,11 +158,11 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = RU
             at = stop
 
 
-def scan(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scan(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", size: int = RUN) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that applies ``work`` to runs of rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, column):
+        for run in runs(batches, column, size):
             if (out := work(run)) is not None:
                 yield out
 

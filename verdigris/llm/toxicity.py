@@ -226,7 +226,7 @@ def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray, folds: int = 5)
         x = features(*T.buffers(batch.column("text")), learned)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y), *(pa.array(c) for c in x.T)], ["doc_id", "y", *NAMES])
 
-    table = docs.select("doc_id", "text").mapInArrow(T.scan(described), "doc_id long, y long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
+    table = docs.select("doc_id", "text").mapInArrow(T.scan(described, size=1 << 20), "doc_id long, y long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
     table = table.sort_values(["doc_id", *NAMES], ignore_index=True)
     x, y = table[NAMES].to_numpy(), table["y"].to_numpy()
     fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
@@ -246,7 +246,7 @@ def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(*T.buffers(batch.column("text"))))], [*keep, name])
 
-    return source.mapInArrow(T.scan(work), schema)
+    return source.mapInArrow(T.scan(work, size=1 << 20), schema)
 
 
 def free_name(docs: DataFrame, name: str) -> str:
