@@ -384,10 +384,24 @@ def _finish(n: int):
     return work
 
 
+def _frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, down to a level of frequency that at most ``most`` of them reach. (A sorted limit would
+    send as many rows from every task.)"""
+    level = F.floor(F.log2("n") * 64)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return [] if least is None else counts.filter(F.col("n") >= least).orderBy("w").collect()
+
+
 def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 1_000_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
-    ``contexts``: at most 65,534, so that a context's number takes two bytes.
+    ``contexts``: at most 65,533, so that a context's number takes two bytes; the words with restaurants are those above a
+    level of frequency that no more than so many words reach.
     """
     spark = docs.sparkSession
     local_arrow_rows(spark)
@@ -396,7 +410,7 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float =
     d0 = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else 0.5
     ranges = max(1, min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / range_tokens))))
     end = int(T.signed(np.array([END]))[0])
-    top = counts.filter(F.col("w") != end).orderBy(F.desc("n"), "w").limit(min(contexts, 65_533)).collect()
+    top = _frequent(counts.filter(F.col("w") != end), min(contexts, 65_533))
     hashes = np.array([r["w"] for r in top], np.int64).view(np.uint64)
     context = np.append(hashes, BEGIN)
     order = np.argsort(context)
