@@ -43,7 +43,7 @@ from verdigris.session import load, local_arrow_rows, materialize
 U = np.uint64
 END, BEGIN = U(0x1234567_89ABCDEF), U(0xFEDCBA98_7654321)
 #: A block's bytes of text and its documents, at most (one document at least).
-BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 60_000
+BLOCK_BYTES, BLOCK_DOCS = 3 << 20, 60_000
 #: Shares of scores are rounded to this part of one; a task adds up those of its ranges until they take so many bytes.
 FIXED, HELD_BYTES = 1 << 22, 32 << 20
 
@@ -88,7 +88,7 @@ class Block:
             self.ids += b.column("doc_id").to_pylist()
         self.word, self.size = np.concatenate(words), np.concatenate(sizes)
         self.train = np.array([not held_out(i) for i in self.ids])
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -147,24 +147,28 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 entity, first, back = np.unique(e, return_index=True, return_inverse=True)
                 distinct = b.word[first]
             key = (back << 16) | u
+            ids, sizes, train_doc, of_doc = b.ids, b.size, b.train, b.doc
+            del b, back, u  # a worker's memory is what a block has at its largest
             order = np.argsort(key, kind="stable")
-            key, doc = key[order], b.doc[order]
+            key, doc = key[order], of_doc[order]
+            del order, of_doc
             new_p = np.ones(len(key), bool)
             new_p[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
             p_at = np.flatnonzero(new_p)
             count = np.diff(np.append(p_at, len(key)))
             p_key, p_doc = key[p_at], doc[p_at]
+            del key, doc, new_p
             new_e = np.ones(len(p_key), bool)
             new_e[1:] = p_key[1:] != p_key[:-1]
             e_at = np.flatnonzero(new_e)
             e_key = p_key[e_at]
             e_n = np.diff(np.append(e_at, len(p_key)))
-            train = np.add.reduceat(count * b.train[p_doc], e_at)
+            train = np.add.reduceat(count * train_doc[p_doc], e_at)
             of = (entity >> U(32)) * U(ranges) >> U(32)
             e_range = of[e_key >> 16].astype(np.int64)
             edge = np.searchsorted(e_range, np.arange(ranges + 1))
             p_edge = np.append(e_at, len(p_key))
-            out = [(-1 - name, name, _pack(b.ids, b.size))]
+            out = [(-1 - name, name, _pack(ids, sizes))]
             for g in range(ranges):
                 a, z = edge[g], edge[g + 1]
                 if a == z:
@@ -172,7 +176,7 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 ent = e_key[a:z] >> 16
                 w, w_at = np.unique(ent, return_index=True)
                 q = slice(p_edge[a], p_edge[z])
-                out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), (e_key[a:z] & 0xFFFF).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(b.size))))
+                out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), (e_key[a:z] & 0xFFFF).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(sizes))))
             for at in range(0, len(out), 16):
                 g, n, blob = zip(*out[at : at + 16])
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["g", "block", "blob"])
@@ -228,6 +232,8 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
         entry.append((np.repeat(back[at : at + len(w)], runs_) << 16) | u)
         at += len(w)
     entries, number = np.unique(np.concatenate(entry), return_inverse=True)
+    number = number.astype(np.int32)
+    del entry, back
     c = np.bincount(number, np.concatenate([p[4] for p in parts])).astype(np.int64)
     w_of, u_of = entries >> 16, entries & 0xFFFF
     n_words = len(words)
@@ -397,7 +403,7 @@ def _frequent(counts: DataFrame, most: int) -> list:
     return [] if least is None else counts.filter(F.col("n") >= least).orderBy("w").collect()
 
 
-def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 1_000_000) -> DataFrame:
+def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 700_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     ``contexts``: at most 65,533, so that a context's number takes two bytes; the words with restaurants are those above a
