@@ -439,6 +439,26 @@ def test_license_scan(docs, empty, nameless, rows):
     assert licenses.license_scan(nameless).count() == 3
 
 
+def test_license_scan_of_many_notices(spark):
+    """However many notices a file holds, each gets its label."""
+    wording = {label: t for label, t, _ in licenses.TEMPLATES}
+    texts = [
+        " ; ".join(wording.values()), f"{wording['isc']} {wording['cc-by-4.0']}", f"{wording['mit-text']} {wording['gpl-2.0']}", f"{wording['isc']} {wording['mit-notice']}",
+        *[f"plain words number {i}" for i in range(200)],
+    ]
+    got = once(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, want in enumerate((set(wording), {"isc", "cc-by-4.0"}, {"mit-text", "gpl-2.0"}, {"isc", "mit-notice"})):
+        assert set(got[i].labels) - set(licenses.PHRASES.values()) == want
+    # a template whose rarest words don't stand in place, but enough of the others do
+    body = [f"r{i}" for i in range(12)] + ["key", "phrase"] + [f"c{i}" for i in range(40)]
+    index = licenses.Templates([("long", " ".join(body), ["key phrase"])], {})
+    idf = np.zeros(len(index.hash))
+    for i, w in enumerate(index.body[0]):
+        idf[w] = 2.0 if i < 12 else 1.0
+    ids = np.array(index.body[0][12:] + index.body[0][:12][::-1])
+    assert index.find(np.arange(len(ids)), ids, idf, 12, 1, 0.6)[0] == {"long"}
+
+
 # registered queries
 
 

@@ -1,11 +1,12 @@
 """Operator 10: license scan with a positional rare-token index.
 
 Templates are word sequences with a label and mandatory key phrases. The words of all templates are the license words;
-their document frequencies are counted over the whole corpus. In each file the ``rarest`` license words with the highest
-IDF are looked up in the index (word -> template, position), and each occurrence votes for the template's beginning at
-its place minus the position; votes that agree are the intersection of postings by relative position. Beginnings with
-enough of the file's rare words of that template are verified: every key phrase must stand at its place, give or take
-``slack`` words. A verified template gives its label and a score, the IDF share of its words that stand in place.
+their document frequencies are counted over the whole corpus. In each file every template has its own rare words: its
+``rarest`` words with the highest IDF that the file holds, and as many more as it takes that no beginning with enough
+words in place is missed. They are looked up in the index (word -> template, position), and each occurrence votes for the
+template's beginning at its place minus the position; votes that agree are the intersection of postings by relative
+position. Beginnings with enough of the template's rare words are verified: every key phrase must stand at its place,
+give or take ``slack`` words. A verified template gives its label and a score, the IDF share of its words in place.
 
 Base places (fixed phrases, each word next to the other) are found apart from that, in every whole text; their labels
 always stay. Null texts have no words; repeated rows are scanned each by itself; no templates or rows give no labels.
@@ -95,20 +96,31 @@ class Templates:
             out.append((places, label))
         return out
 
+    def rare(self, t: int, present: set[int], idf: np.ndarray, rarest: int, least: float) -> set[int]:
+        """The words of template t that vote. Those left out and any single voter weigh less than ``least`` together."""
+        body = self.body[t]
+        weight = {w: idf[w] * body.count(w) for w in present.intersection(body)}
+        order = sorted(weight, key=lambda w: (-idf[w], w))
+        n = min(rarest, len(order))
+        enough = least * math.fsum(idf[w] for w in body) * (1 - 1e-9)
+        while n < len(order) and max((weight[w] for w in order[:n]), default=0.0) + math.fsum(weight[w] for w in order[n:]) >= enough:
+            n += 1
+        return set(order[:n])
+
     def find(self, places: np.ndarray, ids: np.ndarray, idf: np.ndarray, rarest: int, slack: int, least: float) -> tuple[set[str], float]:
         """Labels and best score of a file, from its license words' places and numbers."""
-        present = sorted(set(ids.tolist()), key=lambda w: (-idf[w], w))
-        rare = set(present[:rarest])
+        present = set(ids.tolist())
+        rare = [self.rare(t, present, idf, rarest, least) for t in range(len(self.body))]
         votes: dict[tuple[int, int], set[int]] = {}
         for p, w in zip(places.tolist(), ids.tolist()):
-            if w in rare:
-                for t, q in self.postings.get(w, ()):
+            for t, q in self.postings.get(w, ()):
+                if w in rare[t]:
                     votes.setdefault((t, p - q), set()).add(w)
         there = dict(zip(places.tolist(), ids.tolist()))
         labels, best = set(), 0.0
         for (t, begin), found in sorted(votes.items()):
             body = self.body[t]
-            if len(found) < min(2, len(rare & set(body))):
+            if len(found) < min(2, len(rare[t])):
                 continue
             if not all(any(all(there.get(begin + at + d + i) == w for i, w in enumerate(want)) for d in range(-slack, slack + 1)) for at, want in self.keys[t]):
                 continue
