@@ -459,6 +459,14 @@ def test_license_scan_of_many_notices(spark):
     assert index.find(np.arange(len(ids)), ids, idf, 12, 1, 0.6)[0] == {"long"}
 
 
+def test_license_scan_of_common_notices(spark):
+    """A notice is found in a table of any size, however many files hold it."""
+    for n, more in ((1, 0), (3, 0), (4, 0), (40, 60)):
+        texts = ["Licensed under the Apache License, Version 2.0."] * n + [f"plain words number {i}" for i in range(more)]
+        got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert all(r.labels == (["apache", "apache-2.0"] if r.doc_id < n else []) and (r.doc_id >= n or r.score > 0.99) for r in got)
+
+
 # registered queries
 
 

@@ -161,7 +161,7 @@ def license_scan(docs: DataFrame, templates=None, phrases: dict[str, str] | None
     local_arrow_rows(docs.sparkSession)
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     df, n = word_frequencies(docs, Templates(templates, phrases))
-    idf = np.log((n + 1) / (df + 0.5)).clip(0)
+    idf = np.log1p((n + 1) / (df + 0.5))  # positive, however common a word is
     key = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -186,11 +186,12 @@ def license_scan(docs: DataFrame, templates=None, phrases: dict[str, str] | None
         at = np.flatnonzero(ids >= 0)
         doc = np.searchsorted(w.at, at, "right") - 1
         edges = np.searchsorted(doc, np.arange(docs_n + 1))
-        # a file without a word of any key phrase can't be verified
-        keyed = np.zeros(len(index.hash) + 1, bool)
-        keyed[[x for own in index.keys for _, want in own for x in want if idf[x] > 1]] = True
+        # a file that lacks a word of every template's key phrases can't be verified
+        have = np.zeros((docs_n, len(index.hash)), bool)
+        have[doc, ids[at]] = True
         some = np.zeros(docs_n, bool)
-        some[doc[keyed[ids[at]]]] = True
+        for own in index.keys:
+            some |= have[:, sorted({x for _, want in own for x in want})].all(axis=1)
         for d in np.flatnonzero(some).tolist():
             own = slice(edges[d], edges[d + 1])
             found, score[d] = index.find(at[own] - w.at[d], ids[at[own]], idf, rarest, slack, least)
