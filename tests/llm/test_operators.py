@@ -104,6 +104,22 @@ def test_pitman_yor_adds_up(spark):
     assert got[probe[0]] > 0
 
 
+def test_pitman_yor_has_every_context(spark):
+    """A word's own continuation is likelier after it than others, whether its context has a number or is named by its hash."""
+    train = [i for i in range(2000) if not brute.held_out(i, 7, 2)][:400]
+    held = [i for i in range(5000) if brute.held_out(i, 7, 2)]
+    texts = [(i, f"a{k % 50} b{k % 50}") for k, i in enumerate(train)]
+    probes = [(held[2 * k], f"a{k} b{k}") for k in range(50)] + [(held[2 * k + 1], f"a{k} b{(k + 1) % 50}") for k in range(50)]
+    df = spark.createDataFrame(texts + probes, "doc_id long, text string")
+    every = {}
+    for contexts in (0, 10, 60_000):
+        got = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(df, contexts=contexts).collect()}
+        assert all(got[held[2 * k]] > got[held[2 * k + 1]] + 1 for k in range(50))
+        every[contexts] = got
+    # only sampling differs
+    assert all(abs(every[0][i] - every[60_000][i]) < 0.3 for i in every[0] if i in set(train))
+
+
 def test_move_keeps_customers():
     rng = np.random.default_rng(1)
     c = np.array([2, 5, 30])

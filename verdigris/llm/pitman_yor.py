@@ -1,21 +1,21 @@
 """Operator 2: language-model scores from a hierarchical Pitman-Yor model over words.
 
-Restaurants: one for each of the ``contexts`` most frequent preceding words (and a text's beginning), all with the same
-parent, the word restaurant, whose own parent is uniform over the V known words and one unknown. Words after rarer words
-are customers of the word restaurant themselves. In a restaurant with discount d and strength s, a word's customers sit at
-tables, and every table is a customer of the parent:
+Restaurants: one for every preceding word of the training texts (and a text's beginning), all with the same parent, the
+word restaurant, whose own parent is uniform over the V known words and one unknown. In a restaurant with discount d and
+strength s, a word's customers sit at tables, and every table is a customer of the parent:
 
     P(w | u) = (c_uw - d t_uw + (s + d t_u) P(w)) / (s + c_u)
 
 *Gathering.* Tasks turn blocks of documents into postings (word, context, document, count), laid out as compressed arrays
 by a hash of the word; one shuffle brings each hash range together. Words that make up a large share of all tokens are
-spread by context, so no range outgrows the others. Nothing of the vocabulary or the pairs is ever collected or broadcast:
-only the contexts' totals are, and the words spread, both of bounded number.
+spread by context, so no range outgrows the others. Nothing of the vocabulary or the pairs is ever collected or broadcast
+but the totals of the ``contexts`` most frequent contexts, which have numbers, and the words spread, both of bounded
+number. Other contexts are named by their hash; ranges of hashes add their totals up and answer the word ranges.
 
 *Seating* is sampled by Gibbs in each range: in a round, every word of every restaurant has one random customer leave its
 table and sit down anew, at a table by its size less d, or at a new one by the parent's probability. Totals of a
-restaurant that spans ranges are those of the range times the number of ranges (words are spread evenly) while sampling,
-and exact sums when scoring. After ``burn`` rounds, ``samples`` seatings are kept, some rounds apart.
+restaurant that spans ranges are, while sampling, a dish's own and those of the range's other dishes times the number of
+ranges (words are spread evenly), and exact sums when scoring. After ``burn`` rounds, ``samples`` seatings are kept, some rounds apart.
 
 *Scores.* Predictive probabilities are averaged over the seatings; each range adds up its share of every document's score
 and of the base score, and a last shuffle sums the shares. Perplexity is 10 ** (-score / n_tokens).
@@ -41,6 +41,8 @@ from verdigris.llm import text as T
 from verdigris.session import load, local_arrow_rows, materialize
 
 U = np.uint64
+#: An entry's key is its word's number above its context's.
+LOW = (1 << 32) - 1
 END, BEGIN = U(0x1234567_89ABCDEF), U(0xFEDCBA98_7654321)
 #: A block's bytes of text and its documents, at most (one document at least).
 BLOCK_BYTES, BLOCK_DOCS = 3 << 20, 60_000
@@ -131,9 +133,10 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
         part = TaskContext.get().partitionId()
         for k, b in enumerate(blocks(batches)):
             name = (part << 20) + k
-            # few words are contexts: look each distinct one up once
+            # look each distinct word up once
             distinct, back = np.unique(b.word, return_inverse=True)
-            of_word = _number(*context, distinct, other)
+            of_word, own = _number(*context, distinct, other), distinct
+            of_word = np.where(of_word == other, other + np.arange(len(own)), of_word)  # the others by their place in the block
             u = np.empty(len(b.word), np.int64)
             u[1:] = of_word[back[:-1]]
             u[np.cumsum(b.size) - b.size] = int(_number(*context, np.array([BEGIN]), other)[0])
@@ -143,10 +146,12 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 with np.errstate(over="ignore"):
                     e = b.word.copy()
                     s = spread[back]
-                    e[s] = T.mix(b.word[s] + (u[s].astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+                    at = u[s]
+                    name_of = np.where(at < other, at.astype(np.uint64), own[np.maximum(at - other, 0)])
+                    e[s] = T.mix(b.word[s] + (name_of + U(1)) * U(0x9E3779B97F4A7C15))
                 entity, first, back = np.unique(e, return_index=True, return_inverse=True)
                 distinct = b.word[first]
-            key = (back << 16) | u
+            key = (back << 32) | u
             ids, sizes, train_doc, of_doc = b.ids, b.size, b.train, b.doc
             del b, back, u  # a worker's memory is what a block has at its largest
             order = np.argsort(key, kind="stable")
@@ -165,7 +170,7 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
             e_n = np.diff(np.append(e_at, len(p_key)))
             train = np.add.reduceat(count * train_doc[p_doc], e_at)
             of = (entity >> U(32)) * U(ranges) >> U(32)
-            e_range = of[e_key >> 16].astype(np.int64)
+            e_range = of[e_key >> 32].astype(np.int64)
             edge = np.searchsorted(e_range, np.arange(ranges + 1))
             p_edge = np.append(e_at, len(p_key))
             out = [(-1 - name, name, _pack(ids, sizes))]
@@ -173,10 +178,10 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 a, z = edge[g], edge[g + 1]
                 if a == z:
                     continue
-                ent = e_key[a:z] >> 16
+                ent, e_u = e_key[a:z] >> 32, e_key[a:z] & LOW
                 w, w_at = np.unique(ent, return_index=True)
                 q = slice(p_edge[a], p_edge[z])
-                out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), (e_key[a:z] & 0xFFFF).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(sizes))))
+                out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), np.minimum(e_u, other).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(sizes), own[e_u[e_u >= other] - other])))
             for at in range(0, len(out), 16):
                 g, n, blob = zip(*out[at : at + 16])
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["g", "block", "blob"])
@@ -221,33 +226,35 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
     """Merge a range's postings and sample its seatings: one row with the range's data and totals."""
     g = key[0].as_py()
     if g < 0:
-        return _row(g, table.column("blob")[0].as_py(), b"", b"")
+        return _row(g, table.column("blob")[0].as_py(), b"", b"", b"")
     other, ranges, d, s, d0, s0 = (settings[k] for k in ("other", "ranges", "d", "s", "d0", "s0"))
     order = np.argsort(table.column("block").to_numpy(), kind="stable")
     names = table.column("block").to_numpy()[order]
     parts = [_unpack(table.column("blob")[int(i)].as_py()) for i in order]
     words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    rare = np.unique(np.concatenate([p[8] for p in parts]))  # contexts without a number
     entry, at = [], 0
-    for w, runs_, u, *_ in parts:
-        entry.append((np.repeat(back[at : at + len(w)], runs_) << 16) | u)
+    for w, runs_, u, *_, own in parts:
+        u = u.astype(np.int64)
+        u[u == other] += np.searchsorted(rare, own)
+        entry.append((np.repeat(back[at : at + len(w)], runs_) << 32) | u)
         at += len(w)
+    n_contexts = other + len(rare)
     entries, number = np.unique(np.concatenate(entry), return_inverse=True)
     number = number.astype(np.int32)
     del entry, back
     c = np.bincount(number, np.concatenate([p[4] for p in parts])).astype(np.int64)
-    w_of, u_of = entries >> 16, entries & 0xFFFF
+    w_of, u_of = entries >> 32, entries & LOW
     n_words = len(words)
     c_word = np.bincount(w_of, c, n_words).astype(np.int64)
     # dishes with two customers or more can be seated in more than one way
     rng = np.random.default_rng([settings["seed"], g])
-    inside = u_of < other
-    direct = np.bincount(w_of[~inside], c[~inside], n_words)
-    one = inside & (c > 0)
-    dishes = np.flatnonzero(inside & (c > 1))
+    one = c > 0
+    dishes = np.flatnonzero(c > 1)
     dw, du, dc = w_of[dishes], u_of[dishes], c[dishes]
     own, size = np.arange(len(dishes)), dc.copy()
-    fixed_t = np.bincount(u_of[one], minlength=other + 1)
-    fixed_m = np.bincount(w_of[one], minlength=n_words) + direct
+    fixed_t = np.bincount(u_of[one], minlength=n_contexts)
+    fixed_m = np.bincount(w_of[one], minlength=n_words)
     t = np.ones(len(dishes), np.int64)
     root = (c_word > 0).astype(np.int64)
     kept_t, kept_m, kept_root = [], [], []
@@ -258,8 +265,9 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
             m = fixed_m + np.bincount(dw, t - 1, n_words)
             total = max(1.0, float(m.sum()) * ranges)
             p = (m - d0 * root + (s0 + d0 * root.sum() * ranges) / (known + 1)) / (s0 + total)
-            t_u = (fixed_t + np.bincount(du, t - 1, other + 1)) * ranges
-            own, size = move(own, size, dc, (s + d * t_u[du]) * p[dw], d, rng)
+            t_u = fixed_t + np.bincount(du, t - 1, n_contexts)
+            t_u = t + (t_u[du] - t) * ranges  # a dish sees itself in any case, others in its range only
+            own, size = move(own, size, dc, (s + d * t_u) * p[dw], d, rng)
             t = np.bincount(own, minlength=len(dishes))
         if i >= settings["burn"] and (i - settings["burn"]) % settings["gap"] == 0:
             m = (fixed_m + np.bincount(dw, t - 1, n_words)).astype(np.int64)
@@ -272,15 +280,17 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
     extra = [_small(x - 1) for x in kept_t]
     postings = []
     at = 0
-    for name, (_, _, u, n, _, doc, count, n_docs) in zip(names.tolist(), parts):
+    for name, (_, _, u, n, _, doc, count, n_docs, _) in zip(names.tolist(), parts):
         own_entries = number[at : at + len(u)]
         at += len(u)
         postings.append((name, _small(np.diff(own_entries, prepend=0)), n, doc, count, n_docs))
-    data = _pack(_small(np.diff(w_of, prepend=0)), u_of.astype(np.uint16), _small(c), dishes.astype(np.uint32), extra, _small(c_word), [_small(x) for x in kept_m], [_small(x) for x in kept_root], spread)
-    sums = {}
+    data = _pack(_small(np.diff(w_of, prepend=0)), np.minimum(u_of, other).astype(np.uint16), _small(u_of[u_of >= other] - other), _small(c), dishes.astype(np.uint32), extra, _small(c_word), [_small(x) for x in kept_m], [_small(x) for x in kept_root], spread)
+    sums, of_rare = {}, [np.bincount(u_of, c, n_contexts)[other:]]
     for i in range(len(kept_t)):
-        sums[i] = (fixed_t + np.bincount(du, kept_t[i] - 1, other + 1)).astype(np.int64), int(kept_m[i].sum()), int(kept_root[i].sum()), [np.bincount(spread[spread >= 0], x[spread >= 0], len(hot)).astype(np.int64) for x in (kept_m[i], kept_root[i])]
-    return _row(g, data, _pack(postings), _pack(sums))
+        t_u = (fixed_t + np.bincount(du, kept_t[i] - 1, n_contexts)).astype(np.int64)
+        of_rare.append(t_u[other:])
+        sums[i] = t_u[:other], int(kept_m[i].sum()), int(kept_root[i].sum()), [np.bincount(spread[spread >= 0], x[spread >= 0], len(hot)).astype(np.int64) for x in (kept_m[i], kept_root[i])]
+    return _row(g, data, _pack(postings), _pack(sums), _pack(rare, *(_small(x.astype(np.int64)) for x in of_rare)))
 
 
 def _root(m: np.ndarray, d: float, new: float, rng: np.random.Generator, rounds: int = 4) -> np.ndarray:
@@ -295,8 +305,8 @@ def _root(m: np.ndarray, d: float, new: float, rng: np.random.Generator, rounds:
     return out
 
 
-def _row(g: int, data: bytes, postings: bytes, sums: bytes) -> pa.Table:
-    return pa.table([pa.array([g], pa.int64()), pa.array([data], pa.binary()), pa.array([postings], pa.binary()), pa.array([sums], pa.binary())], names=["g", "data", "postings", "sums"])
+def _row(g: int, data: bytes, postings: bytes, sums: bytes, rare: bytes) -> pa.Table:
+    return pa.table([pa.array([g], pa.int64()), pa.array([data], pa.binary()), pa.array([postings], pa.binary()), pa.array([sums], pa.binary()), pa.array([rare], pa.binary())], names=["g", "data", "postings", "sums", "rare"])
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +322,31 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(np.full(len(some), kind)), pa.array(some), pa.array(x[some])], ["sample", "kind", "number", "n"])
 
 
+def _sent(buckets: int):
+    """Rows (bucket, g, blob): customers and tables, by sample, that a range has of the contexts without a number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, blob in zip(b.column("g").to_pylist(), b.column("rare").to_pylist()):
+                rare, *sums = _unpack(blob)
+                edge = np.searchsorted((rare >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(edge)).tolist()
+                blobs = [_pack(*(_small(x[edge[i] : edge[i + 1]]) if k else x[edge[i] : edge[i + 1]] for k, x in enumerate((rare, *sums)))) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([g] * len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "g", "blob"])
+
+    return work
+
+
+def _answered(key: tuple, table: pa.Table) -> pa.Table:
+    """Rows (bucket, g, blob): the exact totals over all ranges, in the order in which the range has sent its own."""
+    parts = [_unpack(x) for x in table.column("blob").to_pylist()]
+    rare, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    totals = [np.bincount(back, np.concatenate([p[k] for p in parts]), len(rare)).astype(np.int64) for k in range(1, len(parts[0]))]
+    edge = np.cumsum([0, *(len(p[0]) for p in parts)])
+    blobs = [_pack(*(_small(x[back[a:z]]) for x in totals)) for a, z in zip(edge[:-1], edge[1:])]
+    return pa.table([table.column("bucket"), table.column("g"), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
+
+
 def _shares(settings: dict, totals: dict[int, list[np.ndarray]]):
     """Rows (block, g, blob): shares of the scores of a block's documents, from the ranges up to g."""
     other, d, s, d0, s0, n, v = (settings[k] for k in ("other", "d", "s", "d0", "s0", "N", "V"))
@@ -321,22 +356,26 @@ def _shares(settings: dict, totals: dict[int, list[np.ndarray]]):
         held: dict[int, list[np.ndarray]] = {}
         size = g = 0
         for b in batches:
-            for g, data, posted in zip(b.column("g").to_pylist(), b.column("data").to_pylist(), b.column("postings").to_pylist()):
-                w_of, u_of, c, dishes, extra, c_word, ms, roots, spread = _unpack(data)
+            for g, data, posted, answers in zip(*(b.column(x).to_pylist() for x in ("g", "data", "postings", "answers"))):
+                w_of, code, of_rare, c, dishes, extra, c_word, ms, roots, spread = _unpack(data)
+                answers = [_unpack(a["blob"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+                # the contexts with a number, then the range's others
+                rare_c, *rare_t = [np.concatenate(x).astype(float) for x in zip(*answers)] or [np.zeros(0)] * (1 + len(totals))
+                u_of = code.astype(np.int64)
+                u_of[u_of == other] += of_rare
+                c_all = np.concatenate([c_u, rare_c])[u_of]
                 w_of = np.cumsum(w_of, dtype=np.int64)
                 c, c_word = c.astype(float), c_word.astype(np.int64)
                 hot = spread >= 0
                 c_word[hot] = settings["hot_n"][spread[hot]]
                 p = np.zeros(len(w_of))
-                inside = u_of < other
                 for i, (t_u, (m_all, t_all), hot_m, hot_root) in totals.items():
                     m, root = ms[i].astype(float), roots[i].astype(float)
                     m[hot], root[hot] = hot_m[spread[hot]], hot_root[spread[hot]]
                     parent = ((m - d0 * root + (s0 + d0 * t_all) / (v + 1)) / (s0 + m_all))[w_of]
                     t = (c > 0).astype(float)
                     t[dishes] += extra[i]
-                    ctx = (c - d * t + (s + d * t_u[u_of]) * parent) / (s + c_u[u_of])
-                    p += np.where(inside, ctx, parent)
+                    p += (c - d * t + (s + d * np.concatenate([t_u, rare_t[i]])[u_of]) * parent) / (s + c_all)
                 log_p = np.log10(p / len(totals))
                 log_base = np.log10((c_word + 1.0) / (n + v + 1.0))[w_of]
                 known = (c_word > 0)[w_of]
@@ -406,8 +445,8 @@ def _frequent(counts: DataFrame, most: int) -> list:
 def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 700_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
-    ``contexts``: at most 65,533, so that a context's number takes two bytes; the words with restaurants are those above a
-    level of frequency that no more than so many words reach.
+    ``contexts``: how many contexts have numbers, at most 65,533, so that one takes two bytes: those above a level of
+    frequency that no more than so many words reach. The results don't depend on it but for chance.
     """
     spark = docs.sparkSession
     local_arrow_rows(spark)
@@ -421,7 +460,7 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float =
     context = np.append(hashes, BEGIN)
     order = np.argsort(context)
     trained = docs.select(F.count_if(~(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)))).first()[0]
-    c_u = np.array([r["n"] for r in top] + [trained, 0], float)
+    c_u = np.array([r["n"] for r in top] + [trained], float)
     spread = counts.filter(F.col("n") * 4 * ranges > n).collect()  # fewer than four for each range
     hot = np.array([r["w"] for r in spread], np.int64).view(np.uint64)
     hot_order = np.argsort(hot)
@@ -435,12 +474,15 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float =
     def seat(key: tuple, table: pa.Table) -> pa.Table:
         return _seat(key, table, light)
 
-    seated = materialize(rows.groupBy("g").applyInArrow(seat, "g long, data binary, postings binary, sums binary"), "seatings")
+    seated = materialize(rows.groupBy("g").applyInArrow(seat, "g long, data binary, postings binary, sums binary, rare binary"), "seatings")
     parts = seated.filter("g >= 0")
-    totals = {i: [np.zeros(len(context) + 1), np.zeros(2), np.zeros(len(hot)), np.zeros(len(hot))] for i in range(samples)}
+    totals = {i: [np.zeros(len(context)), np.zeros(2), np.zeros(len(hot)), np.zeros(len(hot))] for i in range(samples)}
     for r in parts.select("sums").mapInArrow(_totals, "sample long, kind long, number long, n long").groupBy("sample", "kind", "number").agg(F.sum("n").alias("n")).collect():
         totals[r["sample"]][r["kind"]][r["number"]] = r["n"]
-    shares = parts.select("g", "data", "postings").mapInArrow(_shares(settings, totals), "block long, g long, blob binary")
+    buckets = max(1, ranges // 16)
+    answers = parts.select("g", "rare").mapInArrow(_sent(buckets), "bucket long, g long, blob binary").groupBy("bucket").applyInArrow(_answered, "bucket long, g long, blob binary")
+    answers = answers.groupBy("g").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+    shares = parts.select("g", "data", "postings").join(answers, "g", "left").mapInArrow(_shares(settings, totals), "block long, g long, blob binary")
     lists = seated.filter("g < 0").select((-1 - F.col("g")).alias("block"), "g", F.col("data").alias("blob"))
     return lists.unionByName(shares).groupBy("block").applyInArrow(_finish(n), SCORES)
 
