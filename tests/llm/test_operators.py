@@ -6,13 +6,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import same
 from tests.llm import brute
 from tests.llm.conftest import ODD, words
-from verdigris.llm import decontam, kd_shards, licenses, near_dedup, order_minhash, packing, pitman_yor, queries, token_counts, toxicity, url_trie
+from verdigris.llm import decontam, kd_shards, licenses, near_dedup, order_minhash, packing, pitman_yor, queries, token_counts, toxic_features, toxicity, url_trie
+from verdigris.llm import text as T
 from verdigris.llm.tokenizer import PieceCache, default_path, tokenizer
 
 
@@ -255,7 +257,7 @@ def test_toxicity(spark, docs, empty, nameless, rows):
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
     auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
     assert auc > 0.97 and all(0 <= s <= 1 for s, _ in held)
-    assert len(model.learned)  # words that only the labels tell
+    assert T.word_hash("zorgle") in model.cues.hash.tolist()  # a word that only the labels tell
     assert toxicity.toxicity_scores(docs, model).count() == len(rows)
     assert toxicity.toxicity_scores(empty, model).isEmpty()
     assert toxicity.toxicity_scores(nameless, model).count() == 3
@@ -265,6 +267,83 @@ def test_toxicity(spark, docs, empty, nameless, rows):
     assert none.trees is None and toxicity.toxicity_scores(own, none).count() == 600
 
 
+def brute_features(text, weights, near=5):
+    """``toxic_features`` in plain Python, without disguises."""
+    text = text or ""
+    raw = text.encode()
+    names, size = toxic_features.NAMES, max(len(raw), 1)
+    out = dict.fromkeys(names, 0.0)
+    if not raw:
+        return out
+    w = brute.words(text, brute.ALNUM)
+    cased = brute.re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+    n, some = len(w), max(len(w), 1)
+    second = [i for i, x in enumerate(w) if x in toxic_features.SECOND]
+    close = lambda hit: sum(any(abs(i - j) <= near for j in second) for i in hit) / max(len(hit), 1)
+    lex = [i for i, x in enumerate(w) if x in toxic_features.LEXICON]
+
+    def weight(word):
+        b = word.encode()
+        starts = [b[:k] for k in range(3, 11) if k <= len(b) and (k == len(b) or b[k] & 0xC0 != 0x80)] + [b]
+        return max([0, *(weights.get(x.decode(), 0) for x in starts if len(x) > 2)])
+
+    cue = [weight(x) for x in w]
+    hit = [i for i, x in enumerate(cue) if x > 0]
+    upper, punct, digits = (sum(c in group for c in raw) for group in (range(65, 91), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], range(48, 58)))
+    out |= {"words": math.log1p(n), "lexicon": len(lex) / some, "lexicon_n": math.log1p(len(lex)), "second": close(lex), "capitals": upper / size, "shouting": sum(len(x) > 1 and all("A" <= c <= "Z" for c in x) for x in cased) / some}
+    out |= {"punctuation": punct / size, "exclaimed": raw.count(b"!") / size, "digits": digits / size, "distinct": len(set(w)) / some, "lengthy": size / some}
+    return out | {"cue_sum": math.log1p(sum(cue)), "cue_rate": sum(cue) / some, "cue_most": max(cue, default=0), "cue_n": math.log1p(len(hit)), "cue_second": close(hit)}
+
+
+def test_toxicity_features(rows):
+    """Features of odd texts, of a run and one by one, as plain Python has them; stems cover their endings."""
+    weights = {"zor": 1.5, "zorgle": 4.0, "été": 2.0, "w17": 1.0, "日": 3.0}
+    cues = toxic_features.Cues(np.array([T.word_hash(x) for x in weights], np.uint64), np.array(list(weights.values())))
+    texts = [t for _, t, *_ in rows] + ["YOU zorgles, zorg and zörgle", "you! idiot idiot " + "x " * 9 + "moron", "étés Été ét", "日本 日 x", "!", "A! B! idiot"]
+    got = toxic_features.features(*T.buffers(pa.array(texts, pa.string())), cues)
+    for row, text in zip(got, texts):
+        want = brute_features(text, weights)
+        alone = toxic_features.features(*T.buffers(pa.array([text], pa.string())), cues)[0]
+        assert np.allclose(row, alone), text
+        for name, x in zip(toxic_features.NAMES, row):
+            assert name.startswith("obfuscated") or abs(x - want[name]) < 1e-9, (name, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "count"),
+    [
+        ("idiot", 0), ("1d10t", 1), ("an id1ot!", 1), ("i d i o t", 1), ("so i.d.i.o.t, yes", 1), ("i-d-i-o-t", 1), ("a i d i o t", 1), ("idiooooot", 1), ("idi*t and s**m", 2), ("íďiöt", 1), ("ｉｄｉｏｔ", 1),
+        ("id-iot", 1), ("i\u200bdi\u00adot", 1), ("808 text! $5 @home", 0), ("idiot### you$$", 0), ("A. B. C. I am", 0), ("", 0), ("see mail9.example.com", 0), ("good *** day", 0), ("l0ser scum cl0wn", 2),
+    ],
+)
+def test_disguises(text, count):
+    """Disguised lexicon words are counted once, plain ones and other signs aren't, alone and among other texts."""
+    for texts in ([text], ["an idiot", text, "x i", "d i o t"]):
+        row = toxic_features.features(*T.buffers(pa.array(texts, pa.string())))[texts.index(text)]
+        assert abs(row[toxic_features.NAMES.index("obfuscated_n")] - math.log1p(count)) < 1e-9
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Words learned by their stems: held-out rows of documents of another language than the lexicon's."""
+    d = "/root/testdata/sf0.1"
+    p = toxicity.op5_toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    pos, neg = p[p.toxic == 1].score.to_numpy(), p[p.toxic == 0].score.to_numpy()
+    order = np.argsort(np.argsort(np.concatenate([pos, neg]))) + 1
+    auc = (order[: len(pos)].sum() - len(pos) * (len(pos) + 1) / 2) / len(pos) / len(neg)
+    assert len(pos) > 100 and auc > 0.98 and (pos >= 0.7).mean() > 0.85 and (neg >= 0.7).mean() < 0.01
+
+
+def test_trees_and_cues():
+    """Trees fit an interaction; a cue weighs what its share among toxic rows surely tells."""
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int)
+    f = toxicity.Trees().fit(x[:1500], y[:1500]).raw(x[1500:])
+    assert ((f > 0) == y[1500:]).mean() > 0.95
+    cues = toxicity.weigh(np.array([1, 2, 3, 4], np.uint64), np.array([50, 2, 50, 3]), np.array([0, 0, 400, 0]), 100, 1000, 3)
+    assert cues.hash.tolist() == [1, 4] and cues.weight[0] > 2 > cues.weight[1]
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([3.0, 1, 2, 2]), np.array([1.0, 0, 1, 0]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()

@@ -1,104 +1,32 @@
 """Operator 5: toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text: densities and counts of lexicon words (a general list, and words learned from labelled rows), the
-share of lexicon words with a second-person word within ``near`` words, rates of capitals, all-capital words, punctuation,
-exclamation marks and digits, the rate of obfuscated words (lexicon words only after digits and signs are read as the
-letters they stand for), repetition of words, and length. Labels, language, source and doc_id are never features.
+Features (``toxic_features``): densities of lexicon words and of weighted cues, proximity of second-person words,
+capitals, punctuation, obfuscation, repetition, length. Labels, language, source and doc_id are never features.
 
-The learned words, the trees and the calibration are fitted on a bounded sample of labelled rows: the ``most_labels``
-(20,000) whose documents have the smallest hashes. Trees are grown on histograms of quantile bins, in numpy on the driver;
-the calibration is fitted on scores that each fifth gets from trees grown without it. Scoring reads every whole text, in Arrow batches, without a shuffle.
+*Fitting* uses a bounded sample of labelled documents: the ``most_labels`` (20,000) with the smallest hashes. Cues are
+beginnings of words that stand in at least ``support`` toxic ones (and one in 400 of them); a cue's weight is the lower
+bound, two standard errors down, of the logarithm of how much likelier toxic documents hold it, 1 at least. Texts are
+dealt into folds. A document's cues come from the other folds alone; the calibration is fitted on scores of each fold by
+trees and cues that have seen nothing of it. Trees grow on histograms of quantile bins, in numpy on the driver.
+*Scoring* reads every whole text, in Arrow batches, without a shuffle.
 
 Null and empty texts have all features zero and the score of such rows. Repeated label rows of a document count once, as
-toxic if any says so. Without usable labels of both kinds the score is the share of lexicon words, doubled, at most 1.
+toxic if any says so; repeated rows of a labelled document once, with their least text. Without usable labels of both
+kinds the score is the share of lexicon words, doubled, at most 1.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import text as T
-from verdigris.session import load, local_arrow_rows
-
-LEXICON = (
-    "idiot idiots stupid moron morons loser losers pathetic worthless scum trash garbage disgusting clown fool fools dumb dumbass imbecile cretin jerk creep "
-    "pig pigs vermin filth filthy bastard bastards coward cowards liar ugly freak freaks lunatic psycho retard retarded brainless useless despicable "
-    "hate hated hateful shut kill crap damn shit bullshit fuck fucking fucker asshole bitch bitches slut whore piss prick cunt wanker twat "
-    "salope connard idiote imbecile dummkopf trottel arschloch idioten pendejo estupido estupida basura imbecil"
-).split()
-SECOND = "you your yours yourself yourselves ya ur u tu toi vous votre vos ton ta tes du dich dir dein deine ihr euch euer usted ustedes ti tus vosotros".split()
-LEET = np.arange(256, dtype=np.uint8)
-for _a, _b in zip(b"0134578@$!", b"oieastbasi"):
-    LEET[_a] = _b
-PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-NAMES = ["words", "lexicon", "lexicon_n", "learned", "learned_n", "second", "capitals", "shouting", "punctuation", "exclaimed", "digits", "obfuscated", "distinct", "lengthy"]
-
-
-def hashes(words) -> np.ndarray:
-    return np.unique(np.array([T.word_hash(w) for w in words], np.uint64)) if len(words) else np.zeros(0, np.uint64)
-
-
-_LEXICON, _SECOND = hashes(LEXICON), hashes(SECOND)
-
-
-def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(h):
-        return np.zeros(len(h), bool)
-    at = np.searchsorted(known, h)
-    at[at == len(known)] = 0
-    return known[at] == h
-
-
-def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return (total[at[1:]] - total[at[:-1]]).astype(float)
-
-
-def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, near: int = 5) -> np.ndarray:
-    """One row of ``NAMES`` for each document."""
-    w = T.words(data, offsets, T.ALNUM)
-    n = np.diff(w.at).astype(float)
-    some = np.maximum(n, 1)
-    chars = np.maximum(np.diff(offsets), 1).astype(float)
-    lex, own = _among(w.hash, _LEXICON), _among(w.hash, learned)
-    hit = lex | own
-    second = _among(w.hash, _SECOND)
-    # a second-person word within `near` words, in the same document
-    ahead = np.concatenate([[0], np.cumsum(second)])
-    place = np.arange(len(w.hash))
-    begin, end = np.repeat(w.at[:-1], np.diff(w.at)), np.repeat(w.at[1:], np.diff(w.at))
-    close = hit & (ahead[np.minimum(place + near + 1, end)] - ahead[np.maximum(place - near, begin)] > 0)
-    upper = (data >= 65) & (data <= 90)
-    ups = np.concatenate([[0], np.cumsum(upper)])
-    size = w.end - w.start
-    shouting = (size > 1) & (ups[w.end] - ups[w.start] == size)
-    digits = (data >= 48) & (data <= 57)
-    # obfuscation: read signs as letters, where that makes a lexicon word of what wasn't one
-    odd = digits | ((data == 64) | (data == 36) | (data == 33))
-    hidden = np.zeros(len(n))
-    if odd.any():
-        plain = LEET[data]
-        s = T.words(plain, offsets, T.ALNUM)
-        marks = np.concatenate([[0], np.cumsum(odd)])
-        letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-        flag = (marks[s.end] > marks[s.start]) & (letters[s.end] > letters[s.start])
-        hidden = _per_doc(flag & (_among(s.hash, _LEXICON) | _among(s.hash, learned)), s.at)
-    repeated = np.zeros(len(w.hash), bool)
-    repeated[1:] = w.hash[1:] == w.hash[:-1]
-    first = w.at[:-1][n > 0]
-    repeated[first] = False
-    count = lambda flags: _per_doc(flags, offsets)
-    lex_n, own_n = _per_doc(lex, w.at), _per_doc(own, w.at)
-    columns = [np.log1p(n), lex_n / some, np.log1p(lex_n), own_n / some, np.log1p(own_n), _per_doc(close, w.at) / np.maximum(_per_doc(hit, w.at), 1), count(upper) / chars, _per_doc(shouting, w.at) / some,
-               count(PUNCTUATION[data]) / chars, count(data == 33) / chars, count(digits) / chars, hidden / some, 1 - _per_doc(repeated, w.at) / some, chars / some]
-    out = np.stack(columns, 1)
-    out[np.diff(offsets) == 0] = 0
-    return out
+from verdigris.llm.toxic_features import BASE, CUES, NO_CUES, Cues, Scanned, features
+from verdigris.session import load, local_arrow_rows, materialize
+
+FOLDS = 5
 
 
 class Trees:
@@ -169,72 +97,109 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, learned: np.ndarray, trees: Trees | None, curve: tuple[np.ndarray, np.ndarray] | None):
-        self.learned, self.trees, self.curve = learned, trees, curve
+    def __init__(self, cues: Cues, trees: Trees | None, curve: tuple[np.ndarray, np.ndarray] | None):
+        self.cues, self.trees, self.curve = cues, trees, curve
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = features(data, offsets, self.learned)
+        x = features(data, offsets, self.cues)
         if self.trees is None:
-            return np.minimum(1.0, 2 * x[:, 1])
+            return np.minimum(1.0, 2 * x[:, BASE.index("lexicon")])
         f = self.trees.raw(x)
         # the calibrated chance; a thousandth of the raw one keeps the order within its steps
         return np.clip(0.999 * np.interp(f, *self.curve) + 0.001 / (1 + np.exp(-f)), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_labels: int = 20_000) -> Model:
+def weigh(hash: np.ndarray, yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int, support: int) -> Cues:
+    """The cues among beginnings of words, from how many toxic and other documents hold each."""
+    weight = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1)) - 2 * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+    some = (yes >= max(support, n_yes / 400)) & (weight >= 1)
+    return Cues(hash[some], weight[some])
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_labels: int = 20_000, support: int = 3) -> Model:
     """The model from those labelled documents that ``usable`` admits, ``most_labels`` at most."""
     local_arrow_rows(docs.sparkSession)
-    known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    rows = {r["doc_id"]: int(r["toxic"] > 0) for r in sample.collect()}
-    return _fit(docs, rows, np.array(sorted(rows), np.int64))
-
-
-def _fit(docs: DataFrame, rows: dict[int, int], ids: np.ndarray, folds: int = 5) -> Model:
-    """Two passes over the sampled documents: their words by label, then their features."""
-    if len(set(rows.values())) < 2:
-        return Model(np.zeros(0, np.uint64), None, None)
-    labels = np.array([rows[i] for i in ids.tolist()], np.int64)
-
-    def those(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-        doc = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-        hit = ids[at] == doc
-        return batch.filter(pa.array(hit)), labels[at[hit]]
-
-    def vocabulary(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        batch, y = those(batch)
-        if not batch.num_rows:
-            return None
-        w = T.words(*T.buffers(batch.column("text")), T.ALNUM)
-        parts = [np.unique(w.hash[a:b]) for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist())]
-        words = np.concatenate(parts)
-        toxic = np.repeat(y, [len(p) for p in parts])
-        u, back = np.unique(words, return_inverse=True)
-        yes = np.bincount(back, toxic, len(u)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(T.signed(u)), pa.array(yes), pa.array(np.bincount(back, minlength=len(u)) - yes)], ["w", "yes", "no"])
-
-    n_yes, n_no = int(labels.sum()), int(len(labels) - labels.sum())
-    counted = docs.select("doc_id", "text").mapInArrow(T.scan(vocabulary), "w long, yes long, no long").groupBy("w").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    found = counted.filter((F.col("yes") >= max(5, 0.08 * n_yes)) & (F.col("yes") / n_yes >= 8 * (F.col("no") + 1) / (n_no + 1))).select("w").collect()
-    learned = np.unique(np.array([r["w"] for r in found], np.int64).view(np.uint64))
-
-    def described(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        batch, y = those(batch)
-        if not batch.num_rows:
-            return None
-        x = features(*T.buffers(batch.column("text")), learned)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y), *(pa.array(c) for c in x.T)], ["doc_id", "y", *NAMES])
-
-    table = docs.select("doc_id", "text").mapInArrow(T.scan(described, size=1 << 20), "doc_id long, y long, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()
-    table = table.sort_values(["doc_id", *NAMES], ignore_index=True)
-    x, y = table[NAMES].to_numpy(), table["y"].to_numpy()
-    fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
-    for k in range(folds):
+    known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels))  # most_labels rows of two numbers
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    rows = materialize(rows.select("doc_id", "y", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    return _fit(rows, support)
+
+
+def _held(rows: DataFrame, candidates: np.ndarray | None, toxic: int) -> tuple[DataFrame, list[str]]:
+    """``w, n0 ..``: beginnings of words of the rows with this label, how many rows of each fold hold them, and these columns."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        s = Scanned(*T.buffers(batch.column("text")))
+        words, h = (np.concatenate(x) for x in zip(*s.starts))
+        if candidates is not None:
+            at = np.searchsorted(candidates, h)
+            at[at == len(candidates)] = 0
+            hit = candidates[at] == h
+            words, h = words[hit], h[hit]
+        doc = np.searchsorted(s.w.at, words, "right") - 1
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[new], doc[new]
+        u, back = np.unique(h, return_inverse=True)
+        n = np.bincount(back * FOLDS + batch.column("fold").to_numpy()[doc], minlength=len(u) * FOLDS).reshape(-1, FOLDS)
+        return pa.RecordBatch.from_arrays([pa.array(T.signed(u)), *(pa.array(c) for c in n.T)], ["w", *names])
+
+    names = [f"n{k}" for k in range(FOLDS)]
+    found = rows.filter(F.col("y") == toxic).select("text", "fold").mapInArrow(T.scan(work), "w long, " + ", ".join(f"{n} long" for n in names))
+    found = found.groupBy("w").agg(*[F.sum(n).alias(n) for n in names])
+    return found, names
+
+
+def _fit(rows: DataFrame, support: int) -> Model:
+    """Passes over the labelled rows: beginnings of toxic words, the same in other rows, features by fold."""
+    size = np.zeros((2, FOLDS), np.int64)
+    for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        size[r["y"], r["fold"]] = r["n"]
+    if not size.sum(1).all():
+        return Model(NO_CUES, None, None)
+    found, names = _held(rows, None, 1)
+    total = sum(F.col(n) for n in names)
+    table = found.filter(total >= max(support, int(size[1].sum()) // 500)).toPandas().sort_values("w")
+    hash = table["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hash)
+    hash, yes, no = hash[order], table[names].to_numpy(np.int64)[order], np.zeros((len(table), FOLDS), np.int64)
+    if len(hash):
+        others = _held(rows, hash, 0)[0].toPandas()
+        no[np.searchsorted(hash, others["w"].to_numpy(np.int64).view(np.uint64))] = others[names].to_numpy(np.int64)
+
+    def without(*folds: int) -> Cues:
+        keep = [k for k in range(FOLDS) if k not in folds]
+        return weigh(hash, yes[:, keep].sum(1), no[:, keep].sum(1), int(size[1, keep].sum()), int(size[0, keep].sum()), support)
+
+    cues = {(j, k): without(j, k) for j in range(FOLDS) for k in range(j, FOLDS)}
+
+    def described(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Features, and those of cues: for each fold k, from the folds that are neither k nor the row's own."""
+        s = Scanned(*T.buffers(batch.column("text")))
+        fold = batch.column("fold").to_numpy()
+        by = {jk: s.cues(c) for jk, c in cues.items()}
+        row = np.arange(len(fold))
+        wide = [np.stack([by[min(j, k), max(j, k)][i] for i, j in zip(row, fold)]) for k in range(FOLDS)] + [np.stack([by[j, j][i] for i, j in zip(row, fold)])]
+        x = np.concatenate([s.base(), *wide], 1)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "fold")), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
+
+    table = rows.mapInArrow(T.scan(described, size=1 << 20), "doc_id long, y int, fold int, x array<double>").toPandas().sort_values("doc_id", ignore_index=True)
+    x, y, fold = np.array(table["x"].tolist()), table["y"].to_numpy(), table["fold"].to_numpy()
+    base, m, out = len(BASE), len(CUES), np.zeros(len(y))
+
+    def columns(k: int) -> np.ndarray:
+        return np.concatenate([x[:, :base], x[:, base + k * m : base + (k + 1) * m]], 1)
+
+    for k in range(FOLDS):
+        if not (fold == k).any():
+            continue
         if len(set(y[fold != k].tolist())) < 2:
-            return Model(learned, None, None)
-        out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learned, Trees().fit(x, y), isotonic(out, y.astype(float)))
+            return Model(without(), None, None)
+        out[fold == k] = Trees().fit(columns(k)[fold != k], y[fold != k]).raw(columns(k)[fold == k])
+    return Model(without(), Trees().fit(columns(FOLDS), y), isotonic(out, y.astype(float)))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
