@@ -99,3 +99,32 @@ def test_blocks_of_queries(spark, monkeypatch):
     whole = V.top_k(df, queries(df, 20), 3).collect()
     monkeypatch.setattr(V, "BLOCK_BYTES", 600)
     assert sorted(V.top_k(df, queries(df, 20), 3).collect()) == sorted(whole)
+
+
+def test_ragged_vectors_are_refused(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    for own in (df, spark.createDataFrame([(0, [1.0, None])], "vec_id long, embedding array<float>")):
+        with pytest.raises(Exception, match="different dimensions|null element"):
+            V.top_k(own, queries(own, 1), 1).collect()
+
+
+def test_a_task_keeps_its_best():
+    """The running k best of slices equal those of all rows sorted at once, ties by id."""
+    rng = np.random.default_rng(5)
+    ids, scores = rng.permutation(500), rng.integers(0, 40, (500, 6)).astype(float)
+    for k in (1, 7, 100, 600):
+        best = V._Best(6, k)
+        for a in range(0, 500, 90):
+            best.add(ids[a : a + 90], scores[a : a + 90])
+        for q in range(6):
+            assert best.ids[:, q].tolist() == ids[np.lexsort((ids, -scores[:, q]))][:k].tolist()
+
+
+def test_recall_targets(spark):
+    """Recall among 10 of the codes' scores, as measured on the published algorithm."""
+    from verdigris.plans.vectors import QUERIES
+
+    for bits, least in ((2, 0.62), (3, 0.78), (4, 0.88)):
+        found = QUERIES[f"vec_recall_{bits}bit"](spark, "/root/testdata/sf0.1")
+        assert found.agg(F.avg("recall")).first()[0] >= least

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +24,16 @@ PARTIAL = "query_id long, vec_id long, score double"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    """A list column as rows; lists of unequal lengths, null lists and null elements are errors."""
+    if not len(column):
+        return np.zeros((0, 0))
+    size = pc.list_value_length(column)
+    if size.null_count or len(pc.unique(size)) > 1:
+        raise ValueError("vectors of different dimensions, or none")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a null element")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,13 +47,32 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows.column(0).to_numpy(), matrix(rows.column(1).combine_chunks()).astype(np.float64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best rows of a batch for each query (scores: rows x queries); of equal scores the smaller id."""
-    scores = np.round(scores, 6) + 0.0
-    order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[order]
-    top = np.argsort(-scores, axis=0, kind="stable")[:k]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, len(top))), pa.array(ids[top].T.reshape(-1)), pa.array(np.take_along_axis(scores, top, 0).T.reshape(-1))], ["query_id", "vec_id", "score"])
+class _Best:
+    """A task's k best rows for each query so far; of equal scores the smaller id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.ids, self.scores = k, np.zeros((0, n_queries), np.int64), np.zeros((0, n_queries))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: rows x queries. Only rows that reach the k-th best score so far are merged."""
+        scores = np.round(scores, 6) + 0.0
+        if len(scores) > self.k:
+            # rows that no query can want are left out before anything is sorted
+            least = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+            if len(self.scores) == self.k:
+                least = np.maximum(least, self.scores[-1])
+            some = (scores >= least).any(axis=1)
+            ids, scores = ids[some], scores[some]
+        if not len(ids):
+            return
+        ids = np.concatenate([self.ids, np.broadcast_to(ids[:, None], scores.shape)])
+        scores = np.concatenate([self.scores, scores])
+        top = np.lexsort((ids, -scores), axis=0)[: self.k]
+        self.ids, self.scores = np.take_along_axis(ids, top, 0), np.take_along_axis(scores, top, 0)
+
+    def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        columns = (np.repeat(query_ids, len(self.ids)), self.ids.T.reshape(-1), self.scores.T.reshape(-1))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
 
 def _ranked(partials: DataFrame, k: int) -> DataFrame:
@@ -69,10 +96,12 @@ def _search(data: DataFrame, queries: DataFrame, k: int, scorer) -> DataFrame:
     for ids, vectors in _blocks(queries):
 
         def work(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
+            best = _Best(len(ids), k)
             for b in batches:
                 for at in range(0, b.num_rows, 4096):
                     part = b.slice(at, 4096)
-                    yield _best(part.column("vec_id").to_numpy(), scorer(part, vectors), ids, k)
+                    best.add(part.column("vec_id").to_numpy(), scorer(part, vectors))
+            yield best.rows(ids)
 
         out = out.union(data.mapInArrow(work, PARTIAL))
     return _ranked(out, k)

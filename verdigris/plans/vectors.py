@@ -34,7 +34,7 @@ def vec_topk_allowlist(spark, d):
 
 def vec_effective_k(spark, d):
     e, q = _both(spark, d)
-    found = V.top_k(e.filter("label = 1 AND vec_id < 100"), q, 50)
+    found = V.top_k(e.filter("label = 1"), q, 1000)  # more than the mask leaves
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
 
 
@@ -137,11 +137,25 @@ s AS (SELECT query_id, vec_id, round(list_dot_product(q, near) * scale, 6) + 0.0
 a AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)"""
 
 
+def _lut_sql(bits, dim=64):
+    """The same with products of each coordinate and level in steps of a 255th of a query's range."""
+    cent = _list(Q.codebook(bits, dim)[1])
+    return f"""WITH {_encoded_sql(bits, dim)},
+lp AS (SELECT query_id, q, list_transform(q, lambda y: list_transform({cent}, lambda c: y * c)) AS p FROM q),
+lr AS (SELECT *, list_min(flatten(p)) AS lo, list_max(flatten(p)) AS hi FROM lp),
+lt AS (SELECT query_id, lo, CASE WHEN hi - lo > 1e-12 THEN (hi - lo) / 255 ELSE 1.0 END AS step, p FROM lr),
+lu AS (SELECT query_id, lo, step, list_transform(p, lambda r: list_transform(r, lambda x: greatest(0, least(255, round_even((x - lo) / step, 0))))) AS t FROM lt),
+lc AS (SELECT vec_id, scale, list_transform(string_split(codes, ','), lambda x: x::INT) AS code FROM e),
+ls AS (SELECT query_id, vec_id, round((list_sum(list_transform(range(1, {dim + 1}), lambda i: t[i][code[i] + 1])) * step + lo * {dim}) * scale, 6) + 0.0 AS score FROM lu, lc),
+la AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM ls)
+SELECT query_id, rank, vec_id, score FROM la WHERE rank <= {K}"""
+
+
 ORACLE_SQL = {
     "vec_topk_exact": _topk_sql(),
     "vec_topk_masked": _topk_sql("v.label < 5"),
     "vec_topk_allowlist": _topk_sql("v.vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3)"),
-    "vec_effective_k": f"SELECT query_id, count(*) AS n_found FROM ({_topk_sql('v.label = 1 AND v.vec_id < 100', 50)}) GROUP BY 1",
+    "vec_effective_k": f"SELECT query_id, count(*) AS n_found FROM ({_topk_sql('v.label = 1', 1000)}) GROUP BY 1",
     "vec_block_skip": "SELECT vec_id // 32 AS block, count(*) FILTER (label = 7) AS n_allowed, count(*) AS n_rows, count(*) FILTER (label = 7) = 0 AS skipped FROM embeddings GROUP BY 1",
     "vec_swap_remove": "SELECT CASE WHEN vec_id = (SELECT max(vec_id) FROM embeddings) THEN 5 ELSE vec_id END AS slot, vec_id FROM embeddings WHERE vec_id <> 5",
     "vec_remove_ids": "SELECT label, count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 2) GROUP BY 1",
@@ -155,5 +169,6 @@ for _b in (2, 3, 4):
     _e = f"WITH {_encoded_sql(_b)}"
     ORACLE_SQL[f"vec_encode_{_b}bit"] = _e + " SELECT vec_id, codes, round(scale, 6) AS scale FROM e"
     ORACLE_SQL[f"vec_topk_quantized_{_b}bit"] = _e + f" SELECT query_id, rank, vec_id, score FROM a WHERE rank <= {K}"
+    ORACLE_SQL[f"vec_topk_lut_{_b}bit"] = _lut_sql(_b)
     ORACLE_SQL[f"vec_recall_{_b}bit"] = _e + f", x10 AS ({_topk_sql()}) SELECT query_id, count(a.vec_id) AS hits, round(count(a.vec_id) / {float(K)}, 6) AS recall FROM x10 LEFT JOIN (SELECT * FROM a WHERE rank <= {K}) a USING (query_id, vec_id) GROUP BY query_id"
     ORACLE_SQL[f"vec_distortion_{_b}bit"] = _e + " SELECT round(avg(se), 6) AS mse_x_dim, round(avg(scale * own / norm), 6) AS self_score, count(*) AS n FROM e"
