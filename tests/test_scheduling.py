@@ -66,3 +66,14 @@ def test_attempts(spark):
     df = spark.createDataFrame([(0, 0), (1, 1), (2, 5)], "request_id long, f int")
     rows = S.attempts(df, F.col("f"), 3).groupBy("request_id").agg(F.count("*").alias("n"), F.max("dead").alias("dead")).orderBy("request_id").collect()
     assert [(r.n, r.dead) for r in rows] == [(1, False), (2, False), (3, True)]
+
+
+def test_ranks_in_ranges(spark):
+    """Places by range buckets equal a plain sort, with repeated and null keys."""
+    from verdigris.functions.ranking import bucketed_rank, range_bucket
+
+    rows = [(i, f"https://one.example/{i * 7919 % 1000}") for i in range(1000)] + [(1000, None), (1001, "https://one.example/5")]
+    df = spark.createDataFrame(rows, "id long, path string")
+    ranked = bucketed_rank(df, [], range_bucket(df, "path", buckets=9, rows=10), ["path", "id"], "place")
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))]
+    assert [r.id for r in ranked.orderBy("place").collect()] == want

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
-from verdigris.functions.ranking import bucketed_rank
+from verdigris.functions.ranking import bucketed_rank, range_bucket
 
 FORMATS = {"pdf": "PDF", "epub": "EPUB", "chm": "CHM"} | dict.fromkeys(("mobi", "azw", "azw3", "prc"), "MOBI")
 COLUMNS = ["name", "location", "format", "authors", "publisher", "language", "isbn", "published", "modified", "pages", "tags", "size", "description"]
@@ -24,10 +24,10 @@ def choose_columns(wanted: str | None) -> tuple[list[str], list[str]]:
 
 
 def scan_order(files: DataFrame, path: str = "path") -> DataFrame:
-    """1-based place and total of each file, by path whatever its case; placed within prefixes, not in one task."""
-    low = F.lower(path)
+    """1-based place and total of each file, by path whatever its case; placed within ranges of paths, not in one task."""
     total = files.count()
-    ranked = bucketed_rank(files.withColumn("_low", low), [], F.substring("_low", 1, 16), ["_low", path], "_i")
+    files = files.withColumn("_low", F.lower(path))
+    ranked = bucketed_rank(files, [], range_bucket(files, "_low"), ["_low", path], "_i")
     return ranked.withColumns({"current": F.col("_i") + 1, "total": F.lit(total).cast("long")}).drop("_i", "_low")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.ranking import bucketed_rank, bucketed_sum
@@ -51,10 +50,13 @@ def weighted_round_robin(reqs: DataFrame, weights: dict[int, int] | None = None,
     return ranked.withColumn("cycle", cycle).withColumn("dispatch_pos", pos.cast("long")).select("request_id", "priority", "lane_rank", "cycle", "dispatch_pos")
 
 
-def fair_order(reqs: DataFrame) -> DataFrame:
-    """Partitions of a lane take turns: ``partition_rank`` in the partition, ``fair_pos`` in the lane."""
-    rank = F.row_number().over(W.partitionBy("priority", "partition_key").orderBy("ts", "request_id")) - 1
-    r = reqs.select("request_id", "ts", "priority", "partition_key").withColumn("partition_rank", rank.cast("long"))
+def fair_order(reqs: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Partitions of a lane take turns: ``partition_rank`` in the partition, ``fair_pos`` in the lane.
+
+    A partition with a large share of all requests is ranked in many tasks, by ``bucket`` of its time.
+    """
+    own = reqs.select("request_id", "ts", "priority", "partition_key")
+    r = bucketed_rank(own, ["priority", "partition_key"], hour() if bucket is None else bucket, ["ts", "request_id"], "partition_rank")
     return bucketed_rank(r, ["priority"], F.col("partition_rank"), ["partition_key"], "fair_pos").select("request_id", "priority", "partition_key", "partition_rank", "fair_pos")
 
 

@@ -138,14 +138,14 @@ def numeric_times(spark, d):
 
 def _books(spark, d):
     s = load(spark, d, "documents")
-    ext = F.element_at(F.array(*map(F.lit, ("pdf", "EPUB", "azw3", "chm", "txt"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "EPUB", "azw3", "chm", "prc"))), (F.col("doc_id") % 5 + 1).cast("int"))
     name = F.concat(F.lit("Doc"), F.col("doc_id"), F.lit("."), ext)
     text = F.coalesce("text", F.lit(""))
     return s.select(
         F.concat(F.lit("/lib/"), "source", F.lit("/"), name).alias("file_path"), name.alias("file_name"), C.format_of(F.concat(F.lit("."), ext)).alias("format"), (F.octet_length(text).cast("long") * 97).alias("file_size_bytes"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("T|"), F.col("doc_id"))).alias("title"), F.array("source", "lang").alias("authors"), F.lit(None).cast("string").alias("publisher"), text.alias("description"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("isbn"),
         F.lit(None).cast("timestamp").alias("published_date"), F.lit(None).cast("timestamp").alias("modified_date"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 900).cast("int")).alias("page_count"), F.array("lang").alias("tags"),
-    ).filter("format IS NOT NULL")
+    )
 
 
 def catalog_rows(spark, d):
@@ -216,8 +216,8 @@ _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _INFO = rf"""WITH a AS (SELECT *, nullif(regexp_extract({_PATH}, '([^/\\]*)$', 1), '') AS file_name FROM pages), b AS (SELECT *, nullif(lower(regexp_extract(file_name, '(\.[^./\\]+)$', 1)), '') AS extension FROM a),
 c AS (SELECT *, CASE {" ".join(f"WHEN extension = '.{e}' THEN '{m}'" for e, m in X.EXTENSION_MIME.items())} END AS mime_type FROM b)"""
 _ESC = r"trim(replace(replace(replace({}, chr(13), ' '), chr(10), '<br/>'), '|', '\|'))"
-_BOOKS = """WITH s AS (SELECT *, (['pdf', 'EPUB', 'azw3', 'chm', 'txt'])[doc_id % 5 + 1] AS ext FROM documents), n AS (SELECT *, 'Doc' || doc_id || '.' || ext AS file_name FROM s WHERE ext <> 'txt'),
-b AS (SELECT '/lib/' || source || '/' || file_name AS file_path, file_name, (['PDF', 'EPUB', 'MOBI', 'CHM'])[doc_id % 5 + 1] AS format, strlen(coalesce(text, '')) * 97 AS size, CASE WHEN doc_id % 3 = 0 THEN 'T|' || doc_id END AS title, source, lang,
+_BOOKS = """WITH s AS (SELECT *, (['pdf', 'EPUB', 'azw3', 'chm', 'prc'])[doc_id % 5 + 1] AS ext FROM documents), n AS (SELECT *, 'Doc' || doc_id || '.' || ext AS file_name FROM s),
+b AS (SELECT '/lib/' || source || '/' || file_name AS file_path, file_name, (['PDF', 'EPUB', 'MOBI', 'CHM', 'MOBI'])[doc_id % 5 + 1] AS format, strlen(coalesce(text, '')) * 97 AS size, CASE WHEN doc_id % 3 = 0 THEN 'T|' || doc_id END AS title, source, lang,
   replace(replace(coalesce(text, ''), chr(13), ''), chr(10), ' ') AS flat, CASE WHEN doc_id % 2 = 0 THEN doc_id % 900 END AS pages FROM n),
 c AS (SELECT *, coalesce(title, regexp_replace(file_name, '\\.[^.]*$', '')) AS name, CASE WHEN size >= 1073741824 THEN printf('%.1f GB', round(size / 1073741824.0, 1)) WHEN size >= 1048576 THEN printf('%.1f MB', round(size / 1048576.0, 1)) WHEN size >= 1024 THEN printf('%.1f KB', round(size / 1024.0, 1)) ELSE size || ' B' END AS human FROM b)"""
 ORACLE_SQL = {
