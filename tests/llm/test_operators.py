@@ -162,6 +162,37 @@ def test_near_copies_in_a_large_bucket(spark):
     got = once(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {i: r.component_id for i, r in got.items()} == label
     assert len(set(label.values())) < 20
+    # links joined by stars, as where there are too many for the driver
+    got = once(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), few_links=0))
+    assert {i: r.component_id for i, r in got.items()} == label
+
+
+def test_ranks_of_large_buckets(spark):
+    """Ranks are gapless in every bucket, however it is split."""
+    rows = [(i, 5, [1, 100 + i % 3, 1000 + i]) for i in range(500)]
+    df = spark.createDataFrame(rows, "node long, n long, keys array<long>")
+    for most in (1 << 16, 20):
+        by = {}
+        for r in near_dedup.bucket_members(df, most).collect():
+            by.setdefault(r.key, []).append(r.rank)
+        assert {k: sorted(v) for k, v in by.items()} == {k: list(range(len(v))) for k, v in by.items()} and len(by) == 4
+
+
+def test_near_copies_without_doc_id(spark):
+    """Rows without doc_id link, name no component that has one, and are told apart by their texts; so are rows that share a doc_id."""
+    rng = random.Random(9)
+    a, b, c = (words(rng, 60, 10**6).split() for _ in range(3))
+    near = lambda w, i: " ".join([*w[:30], f"x{i}", *w[31:]])
+    rows = [(None, near(a, 1)), (None, near(a, 2)), (None, near(a, 2)), (7, near(b, 1)), (None, near(b, 2)), (9, near(b, 3)), (9, " ".join(c)), (9, " ".join(c)), (None, ""), (None, None), (11, near(c, 1)), (12, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"c1": F.lit(1), "n": F.lit("n"), "node": F.lit(2)})
+    got = near_dedup.near_duplicates(df)
+    assert got.count() == len(rows)
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in got.collect() if r.n_shingles > 2) == sorted([(0, 0, 59)] * 3 + [(7, 7, 59), (0, 7, 59), (9, 7, 59), (9, 9, 59), (9, 9, 59), (11, 9, 59)])
+    out = near_dedup.deduplicate(df)
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    assert [k for k in kept if k[0]] == [(7, near(b, 1)), (9, " ".join(c)), (12, "alone here")]
+    assert sum(not t for i, t in kept) == 2 and sum(bool(t) and not i for i, t in kept) == 1
 
 
 def test_deduplicate(docs, empty, nameless, rows):
@@ -170,7 +201,7 @@ def test_deduplicate(docs, empty, nameless, rows):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted({i for i in label if label[i] == i})
     assert near_dedup.deduplicate(empty).isEmpty()
-    assert near_dedup.deduplicate(nameless).count() == 3
+    assert sorted((r.doc_id or 0, r.text is None) for r in near_dedup.deduplicate(nameless).collect()) == [(0, True), (1, False)]
 
 
 def test_signatures_estimate_likeness():

@@ -2,7 +2,8 @@
 
 A document is its set of distinct 2-word shingles (with fewer words the whole sequence; without words empty, linked with
 nothing). Documents with equal sets are one class from the start, however many copies there are; everything after works
-on one representative of each class, its smallest doc_id.
+on classes, which have numbers of their own, so rows without doc_id and rows that repeat one with other texts are linked
+like all others.
 
 *Signatures.* Each element draws a random permutation of the slots, one slot a level, with value level + uniform; a slot
 keeps its smallest value. As values of a level are below those of the next, a document is finished once all its slots
@@ -12,11 +13,15 @@ once.
 *Candidates.* Slots are hashed in ``bands`` of ``rows``: at the threshold 0.8 all bands miss a pair with a chance of
 (1 - 0.8^rows)^bands, 3e-6 for 32 x 5. Inside a bucket, members are ranked; each round compares the next centers, in
 doubling numbers, with later members that aren't in their component yet, until no bucket has unexamined pairs across
-components. So a bucket of thousands of near copies costs one star, not all pairs, and none is capped.
+components. So a bucket of thousands of near copies costs one star, not all pairs, and none is capped. A few bands go
+first; what they link needs no more pairs in the others. Members of large buckets are ranked in many tasks.
 
-*Verification* counts intersections of the full sets (64-bit shingle hashes). *Grouping* is union-find by alternating
-large and small stars. Null texts have no words. Repeated rows stay rows; they share class and component. Null doc_ids
-link like others but never name a component that has a doc_id.
+*Verification* counts intersections of the full sets (64-bit shingle hashes). *Grouping* is union-find over components
+so far: the links of a round, between components, are joined on the driver if they are few (``few_links``) and by
+alternating large and small stars else, until nothing changes.
+
+Null texts have no words. Repeated rows stay rows; they share class and component. A component is named by its smallest
+doc_id; one of rows without any has none (null), and in it the rows of one class are kept.
 """
 
 from __future__ import annotations
@@ -29,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verdigris.llm import text as T
-from verdigris.session import load, local_arrow_rows, materialize
+from verdigris.session import forget, load, local_arrow_rows, materialize
 
 U = np.uint64
 UNIT = 40  # bits of a value below its level
@@ -115,42 +121,75 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def class_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums over each set: equal sets have equal ones."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([[U(0)], np.cumsum(T.mix(sets ^ U(x)), dtype=np.uint64)]) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+        return tuple(T.signed(s[at[1:]] - s[at[:-1]]) for s in sums)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id, n, c1, c2, keys``: set size, class and band keys (null without words) of every document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, at = shingle_sets(*T.buffers(batch.column("text")))
         n = np.diff(at)
-        with np.errstate(over="ignore"):
-            sums = [np.concatenate([[U(0)], np.cumsum(T.mix(sets ^ U(x)), dtype=np.uint64)]) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            c1, c2 = (s[at[1:]] - s[at[:-1]] for s in sums)
+        c1, c2 = class_keys(sets, at)
         keys = T.signed(band_keys(superminhash(sets, at, bands * rows), bands, rows).reshape(-1))
         offsets = pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32), mask=np.concatenate([n == 0, [False]]))
         lists = pa.ListArray.from_arrays(offsets, pa.array(keys))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(T.signed(c1)), pa.array(T.signed(c2)), lists], ["doc_id", "n", "c1", "c2", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(c1), pa.array(c2), lists], ["doc_id", "n", "c1", "c2", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(T.scan(work), "doc_id long, n long, c1 long, c2 long, keys array<long>")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, label`` (smallest node reachable) of every node of the edges (a, b)."""
     current = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = current.union(current.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy(F.col("v").alias("x")).agg(F.least(F.min("u"), F.col("x")).alias("m"))
         large = both.filter("u > v").join(least, F.col("v") == F.col("x")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
         small = large.join(low, F.col("v") == F.col("x"))
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("u < v").distinct()
-        current = materialize(small, "edges")
+        last, current = current, materialize(small, "edges")
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        forget(last)
         if now == before:
             break
         before = now
     return current.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
 
 
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        low = np.minimum(up[x], up[y])
+        new = up.copy()
+        for side in (up[x], up[y], x, y):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == up).all():
+            return nodes, nodes[up]
+        up = new
+
+
+def joined(links: DataFrame, few_links: int) -> tuple[DataFrame, int]:
+    """``node, label`` of the components that links (a, b) join, and the number of links."""
+    spark = links.sparkSession
+    n = links.count()
+    if n > few_links:
+        return materialize(components(links), "labels"), n
+    rows = links.toPandas()
+    node, label = union_find(rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)) if n else (np.zeros(0, np.int64),) * 2
+    return F.broadcast(spark.createDataFrame(pa.table({"node": pa.array(node), "label": pa.array(label)}))), n  # 2 few_links rows at most
+
+
 def bitmap_of(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids, at most 32 MB however many there are: no id is missed, some others may pass."""
     words = 1 << min(22, max(12, (ids.count() * 16 // 64).bit_length()))
@@ -161,28 +200,33 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def wanted_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, set`` of the documents in ``ids``; a bitmap thins the scan before the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap := bitmap_of(ids))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(len(bitmap) * 64))
+def wanted_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, set`` of the classes (node, c1, c2, n, rep); a bitmap of their documents thins the scan before the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap := bitmap_of(classes.filter("rep is not null").select(F.col("rep").alias("doc_id"))))
+    # a row without doc_id passes only where a class has no other rows
+    h = F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(len(bitmap) * 64)))
+    if classes.filter("rep is null").isEmpty():
+        docs = docs.filter("doc_id is not null")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         at = batch.column("h").to_numpy()
-        hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1)
+        hit = ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1)) | (at < 0)
         if not hit.any():
             return None
-        batch = batch.filter(pa.array(hit))
-        sets, at = shingle_sets(*T.buffers(batch.column("text")))
+        sets, at = shingle_sets(*T.buffers(batch.filter(pa.array(hit)).column("text")))
+        c1, c2 = class_keys(sets, at)
         raw = pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), raw], ["doc_id", "set"])
+        return pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(np.diff(at)), raw], ["c1", "c2", "n", "set"])
 
-    found = docs.filter("doc_id is not null").select("doc_id", "text", h.alias("h")).mapInArrow(T.scan(work), "doc_id long, set binary")
-    return materialize(found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    found = docs.select("text", h.alias("h")).mapInArrow(T.scan(work), "c1 long, c2 long, n long, set binary")
+    once = found.groupBy("c1", "c2", "n").agg(F.first("set").alias("set"))
+    return materialize(once.join(classes.select("node", "c1", "c2", "n"), ["c1", "c2", "n"]).select("node", "set"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+    """Those of the pairs (a, b, ..) with 100 * intersection >= percent * union; columns other than a and b."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -194,62 +238,109 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(v, u)
                 common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
                 ok[i] = 100 * common >= percent * (len(u) + len(v) - common)
-            yield p.loc[ok, ["a", "b"]]
+            yield p.loc[ok, rest]
 
-    return both.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    return both.select(*rest, "sa", "sb").mapInPandas(check, ", ".join(f"{c} long" for c in rest))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document."""
-    spark = docs.sparkSession
-    local_arrow_rows(spark)
-    sig = materialize(signatures(docs, bands, rows), "signatures")
-    classes = sig.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = materialize(classes, "classes")
-    keyed = classes.filter("rep is not null").select("rep", "n", F.explode("keys").alias("key"))
+def bucket_members(classes: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """``band, key, node, n, rank``: members of the buckets of two or more. Ranks are any order within a bucket; one of
+    more than ``most`` members is ranked in parts."""
+    keyed = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("rep")) - 1
-    members = materialize(keyed.join(shared, "key").withColumn("rank", rank), "buckets")
-    sets = wanted_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct())
-    most = members.agg(F.max("rank")).first()[0] or 0
-    labels, edges, at, centers = None, None, 0, 1
-    while at < most:
-        if labels is None:
-            now = members.withColumn("label", F.col("rep"))
-        else:
-            now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            split = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("last")).filter(f"x < y AND last > {at}").select("key")
-            now = materialize(now.join(split, "key"), "open")
-            most = now.agg(F.max("rank")).first()[0] or 0
-            if at >= most:
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / most)).cast("long")
+    members = keyed.join(shared, "key").withColumn("part", part)
+    members = members.withColumn("rank", F.row_number().over(W.partitionBy("key", "part").orderBy("node")) - 1)
+    if not shared.filter(F.col("members") > most).isEmpty():
+        counts = members.filter(F.col("members") > most).groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+        before = counts.select("key", "part", (F.sum("size").over(W.partitionBy("key").orderBy("part")) - F.col("size")).alias("before"))
+        members = members.join(before, ["key", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    return members.select("band", "key", "node", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int, bands: int, few_links: int) -> DataFrame | None:
+    """``node, label`` of the classes that are linked with others."""
+    members = materialize(bucket_members(classes), "buckets")
+    if members.isEmpty():
+        return None
+    sets = wanted_sets(docs, classes.join(members.select("node").distinct(), "node", "left_semi"))
+    labels: DataFrame | None = None
+    edges = [0, max(1, bands // 8), max(1, bands // 2), bands]
+    for low, high in zip(edges[:-1], edges[1:]):
+        group = members.filter((F.col("band") >= low) & (F.col("band") < high))
+        at, centers = 0, 1
+        while True:
+            if labels is None:
+                now = group.withColumn("label", F.col("node"))
+            else:
+                now = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                split = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("last")).filter(f"x < y AND last > {at}").select("key")
+                now = materialize(now.join(split, "key"), "open")
+            if now.filter(f"rank > {at}").isEmpty():
                 break
-        left = now.filter(f"rank >= {at} AND rank < {at + centers}").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        right = now.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("rb") > F.col("ra")) & (F.col("la") != F.col("lb"))
-        pairs = left.join(right, "key").filter(near).select("a", "b").distinct()
-        found = verified(pairs, sets, percent)
-        edges = materialize(found if edges is None else edges.union(found), "links")
-        labels = materialize(components(edges), "labels")
-        at, centers = at + centers, centers * 2
-    named = classes.select("c1", "c2", "n", "rep")
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("label", "rep").alias("label"))
+            left = now.filter(f"rank >= {at} AND rank < {at + centers}").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
+            right = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
+            near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("rb") > F.col("ra")) & (F.col("la") != F.col("lb"))
+            pairs = left.join(right, "key").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "la", "lb").distinct()
+            links = materialize(verified(pairs, sets, percent).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+            if labels is not None:
+                forget(now)
+            moved, n = joined(links, few_links)
+            if n:
+                if labels is None:
+                    fresh = moved
+                else:
+                    other = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+                    known = labels.join(other, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+                    fresh = known.unionByName(moved.join(labels.select("node"), "node", "left_anti").select("node", "label"))
+                fresh = materialize(fresh, "labels")
+                if labels is not None:
+                    forget(labels)
+                labels = fresh
+            forget(links)
+            at, centers = at + centers, centers * 2
+    forget(sets)
+    forget(members)
+    return labels
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 5, few_links: int = 200_000) -> DataFrame:
+    """``doc_id, c1, c2, n, component_id, kept`` of every document; c1, c2 and n name its class."""
+    local_arrow_rows(docs.sparkSession)
+    sig = materialize(signatures(docs, bands, rows), "signatures")
+    classes = sig.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = link_classes(docs, classes, percent, bands, few_links)
+    named = classes.select("c1", "c2", "n", "node", "rep")
+    if labels is None:
+        named = named.select("c1", "c2", "n", F.col("rep").alias("name"), F.lit(True).alias("first"))
     else:
-        named = named.withColumnRenamed("rep", "label")
+        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = named.groupBy("label").agg(F.min("rep").alias("name"))
+        named = named.join(least, "label").select("c1", "c2", "n", "name", (F.col("node") == F.col("label")).alias("first"))
     out = sig.select("doc_id", "c1", "c2", "n").join(named, ["c1", "c2", "n"], "left")
-    component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("name", "doc_id")
+    kept = F.when(component.isNull(), F.coalesce("first", F.lit(True))).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "c1", "c2", "n", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 5, few_links: int = 200_000) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document."""
+    out = near_duplicate_rows(docs, percent, bands, rows, few_links)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """One document of each group, with all columns; rows without doc_id stay.
+    """One row of each group, with all columns; rows without words stay, those of one doc_id once.
 
-    Only rows that may go or repeat a doc_id, told by a bitmap of their ids, are shuffled; the rest pass as they are read.
+    Rows that may go or repeat a doc_id, told by a bitmap of their ids, are shuffled; the rest pass as they are read.
+    Rows whose doc_id is repeated or null are told apart by their texts.
     """
-    found = near_duplicates(docs, percent, bands, rows).filter("doc_id is not null")
-    suspects = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
-    suspects = materialize(suspects.select("doc_id", "kept"), "suspects")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap := bitmap_of(suspects))
+    spark = docs.sparkSession
+    found = materialize(near_duplicate_rows(docs, percent, bands, rows), "found")
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    suspects = materialize(by_id, "suspects")
+    shared = spark.sparkContext.broadcast(bitmap := bitmap_of(suspects))
     bits = len(bitmap) * 64
 
     @F.pandas_udf("boolean")
@@ -257,13 +348,35 @@ def deduplicate(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int =
         at = h.to_numpy()
         return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == U(1))
 
-    maybe = hit(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+    maybe = hit(F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
     some = docs.filter(maybe & F.col("doc_id").isNotNull())
-    gone, again = suspects.filter("NOT kept").select("doc_id"), suspects.filter("kept").select("doc_id")
-    left = some.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    others = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return docs.filter(~maybe | F.col("doc_id").isNull()).unionByName(others).unionByName(once)
+    again = suspects.filter("n > 1").select("doc_id")
+    out = docs.filter(~maybe & F.col("doc_id").isNotNull()).unionByName(some.join(suspects.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    repeated = not again.isEmpty()
+    if not repeated and found.filter("doc_id is null").isEmpty():
+        return out
+    odd = docs.filter("doc_id is null")
+    stay = found.filter("kept AND doc_id is null AND n > 0")
+    if repeated:
+        odd = odd.unionByName(some.join(again, "doc_id", "left_semi").select(*docs.columns))
+        stay = stay.unionByName(found.filter("kept AND doc_id is not null").join(again, "doc_id", "left_semi").select(*stay.columns))
+    taken = {c.lower() for c in docs.columns}
+    c1, c2, n, i = ("_" * (max(map(len, docs.columns)) + 1) + c for c in ("c1", "c2", "n", "id"))
+    assert not {c1, c2, n, i} & taken
+    schema = StructType([*odd.schema.fields, *(StructField(c, LongType()) for c in (c1, c2, n))])
+
+    def classed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets, at = shingle_sets(*T.buffers(batch.column("text")))
+        return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, class_keys(sets, at)), pa.array(np.diff(at))], [*batch.schema.names, c1, c2, n])
+
+    odd = odd.mapInArrow(T.scan(classed), schema)
+    names = stay.select(F.col("doc_id").alias(i), *[F.col(x).alias("_of" + y) for x, y in (("c1", c1), ("c2", c2), ("n", n))]).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(i))
+    for c in (c1, c2, n):
+        same &= F.col(c) == F.col("_of" + c)
+    once = odd.filter(F.col("doc_id").isNotNull() | (F.col(n) > 0)).join(names, same, "left_semi").dropDuplicates(["doc_id", c1, c2, n])
+    wordless = odd.filter(F.col("doc_id").isNull() & (F.col(n) == 0))
+    return out.unionByName(once.select(*docs.columns)).unionByName(wordless.select(*docs.columns))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
