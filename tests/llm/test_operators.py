@@ -86,24 +86,107 @@ def test_pitman_yor(docs, empty, nameless, rows):
     assert pitman_yor.pitman_yor_scores(nameless).count() == 3
 
 
-def test_pitman_yor_adds_up(spark):
-    """Over all continuations of a context the probabilities sum to one."""
+class Stage:
+    """The operator's steps without a session: postings, ranges, samples, chances of all entries."""
+
+    def __init__(self, rows, monkeypatch, ranges=1, contexts=(), **more):
+        monkeypatch.setattr(pitman_yor, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+        c = brute.train_counts(rows)
+        names = np.array([T.word_hash(w) for w in contexts] + [pitman_yor.BEGIN], np.uint64)
+        order = np.argsort(names)
+        light = {"other": len(names), "hot": np.zeros(0, np.uint64)}
+        sent = list(pitman_yor._postings((names[order], order), light["hot"], ranges)(iter([batch])))
+        by = {}
+        for b in sent:
+            for r in b.to_pylist():
+                by.setdefault(r["g"], []).append(r["blob"])
+        merged = {g: pitman_yor._merge((pa.scalar(g),), pa.table({"blob": blobs}), light).to_pylist()[0] for g, blobs in by.items() if g >= 0}
+        types, about = np.zeros(len(names)), np.zeros(5)
+        for r in merged.values():
+            x, y, _ = pitman_yor._unpack(r["sums"])[0][0]
+            types, about = types + x, about + y
+        trained = sum(not brute.held_out(i, 7, 2) for i, _ in rows)
+        self.settings = light | {"ranges": ranges, "d": 0.6, "s": 1.0, "d0": 0.4, "s0": 1.0, "N": sum(c.values()), "V": len(c), "M": about[0], "types": types, "hot_types": np.zeros(0), "rare_mean": 0.0, "seed": 1, "burn": 3, "samples": 3, "gap": 1,
+                                 "c_u": np.array([c[w] for w in contexts] + [trained], float), "hot_n": np.zeros(0)} | more
+        self.merged = merged
+
+    def chances(self):
+        """P(word | numbered context) of all entries."""
+        x, totals = self.settings, {}
+        for g, r in self.merged.items():
+            batch = pa.RecordBatch.from_arrays([pa.array([g]), pa.array([r["data"]])], ["g", "data"])
+            for b in pitman_yor._sampled(x)(iter([batch])):
+                for i, kinds in pitman_yor._unpack(b.column("sums")[0].as_py())[0].items():
+                    totals[i] = [p + q for p, q in zip(totals[i], kinds)] if i in totals else list(kinds)
+        out = {}
+        for g, r in self.merged.items():
+            w, u, p, _ = pitman_yor._chances(g, r["data"], None, x, totals)
+            out |= {(g, a, b): y for a, b, y in zip(w.tolist(), u.tolist(), p)}
+        return out
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_pitman_yor_adds_up(monkeypatch, ranges):
+    """Over all known words, an unknown one and the end, a context's probabilities sum to one."""
     rng = random.Random(4)
     train = [(i, words(rng, 30, 12)) for i in range(400) if not brute.held_out(i, 7, 2)]
-    probe = [i for i in range(1000, 4000) if brute.held_out(i, 7, 2)]
-    vocabulary = sorted({w for _, t in train for w in t.split()})
-    texts = ["w1", *[f"w1 {w}" for w in [*vocabulary, "never"]]]
-    assert len(probe) >= len(texts)
-    df = spark.createDataFrame([*train, *zip(probe, texts)], "doc_id long, text string")
-    got = {r.doc_id: 10**r.score for r in pitman_yor.pitman_yor_scores(df).collect()}
-    ends = spark.createDataFrame([*train, *zip(probe, vocabulary)], "doc_id long, text string")
-    # P(w1) P(w | w1) P(end | w): with P(end | w) from single words, P(w) P(end | w)
-    single = {r.doc_id: 10**r.score for r in pitman_yor.pitman_yor_scores(ends).collect()}
-    assert all(0 < p < 1 for p in [*got.values(), *single.values()])
-    first = pitman_yor.pitman_yor_scores(spark.createDataFrame([*train, *zip(probe, [*vocabulary, "never", ""])], "doc_id long, text string"))
-    total = sum(10**r.score for r in first.collect() if r.doc_id in set(probe))
-    assert total < 1  # texts of one word or none are some of all texts
-    assert got[probe[0]] > 0
+    known = sorted({w for _, t in train for w in t.split()})
+    held = [i for i in range(1000, 90_000) if brute.held_out(i, 7, 2)]
+    probes = [f"{u} {w}" for u in known for w in [*known, "never"]] + known + ["never", ""]
+    stage = Stage([*train, *zip(held, probes)], monkeypatch, ranges, [*known, "never"])
+    sums = {}
+    for (_, _, u), p in stage.chances().items():
+        sums[u] = sums.get(u, 0) + p
+        assert 0 < p < 1
+    del sums[len(known)]  # after the unknown word only the end was asked for
+    assert len(sums) == len(known) + 1 and all(abs(x - 1) < 1e-9 for x in sums.values())
+
+
+def exact_tables(c, words_of, contexts_of, d, s, d0, s0, v):
+    """Mean tables of each dish and of each word at the parent, by summing over all numbers of tables."""
+    import itertools
+
+    S, S0 = np.exp(pitman_yor.stirling(d, 16)), np.exp(pitman_yor.stirling(d0, 32))
+    rise = lambda a, step, n: math.prod(a + step * j for j in range(n))
+    mean, root, total = np.zeros(len(c)), np.zeros(max(words_of) + 1), 0.0
+    for t in itertools.product(*(range(1, x + 1) for x in c)):
+        m = np.bincount(words_of, t).astype(int)
+        p = math.prod(S[x, y] for x, y in zip(c, t)) * math.prod(rise(s, d, int(n)) for n in np.bincount(contexts_of, t)) / rise(s0, 1, int(m.sum()))
+        for k in itertools.product(*(range(1, int(x) + 1) for x in m)):
+            q = p * math.prod(S0[x, y] for x, y in zip(m, k)) * rise(s0, d0, sum(k)) / v ** sum(k)
+            mean, root, total = mean + q * np.array(t), root + q * np.array(k), total + q
+    return mean / total, root / total
+
+
+def test_sweeps_reach_the_exact_distribution():
+    """Mean tables of long chains against sums over all seatings of a small model."""
+    c, w, u = np.array([6, 4, 2, 5, 1, 3]), np.array([0, 1, 2, 0, 1, 2]), np.array([0, 0, 0, 1, 1, 1])
+    x = {"other": 2, "ranges": 1, "d": 0.6, "s": 1.0, "d0": 0.4, "s0": 1.0, "V": 3, "M": 6, "types": np.array([3.0, 3.0]), "hot_types": np.zeros(0), "rare_mean": 0.0, "seed": 5, "burn": 20, "samples": 4000, "gap": 1}
+    r = pitman_yor.Range(w, u, c, 3, 2, np.full(3, -1), x)
+    t, k = np.zeros(6), np.zeros(3)
+    for own, _, root in r.seatings(0):
+        t, k = t + own / 4000, k + root / 4000
+    exact_t, exact_k = exact_tables(c.tolist(), w.tolist(), u.tolist(), 0.6, 1.0, 0.4, 1.0, 4)
+    assert np.abs(t / exact_t - 1).max() < 0.06 and np.abs(k / exact_k - 1).max() < 0.08, (t, exact_t, k, exact_k)
+
+
+def test_tables_of_many_customers():
+    """Draws for dishes beyond the exact table against exact weights, from few tables to most customers alone."""
+    rng = np.random.default_rng(2)
+    d, c = 0.8, 400
+    table = pitman_yor.stirling(d, c)
+    for level in (0.5, 5.0, 80.0, 900.0):
+        log_p = table[c, 1:] + np.cumsum(np.log(level + 0.1 * np.arange(c)))
+        p = np.exp(log_p - log_p.max())
+        p /= p.sum()
+        t = np.arange(1, c + 1)
+        mean = float((p * t).sum())
+        sd = math.sqrt(float((p * (t - mean) ** 2).sum()))
+        got = pitman_yor.draw_tables(np.full(3000, c), lambda i, j, level=level: level + 0.1 * j + 0 * i, d, rng)
+        assert abs(got.mean() - mean) < 0.04 * mean + 0.1 * sd + 0.05 and abs(got.std() - sd) < 0.1 * sd + 0.1, (level, got.mean(), mean, got.std(), sd)
+    few = pitman_yor.draw_tables(np.array([1, 2, 5, 128]), lambda i, j: 1e-9 + 0.0 * i + 0.0 * j, d, rng)
+    assert few.tolist() == [1, 1, 1, 1]
 
 
 def test_pitman_yor_has_every_context(spark):
@@ -122,18 +205,6 @@ def test_pitman_yor_has_every_context(spark):
     assert all(abs(every[0][i] - every[60_000][i]) < 0.3 for i in every[0] if i in set(train))
 
 
-def test_move_keeps_customers():
-    rng = np.random.default_rng(1)
-    c = np.array([2, 5, 30])
-    own, size = np.arange(3), c.copy()
-    seen = set()
-    for _ in range(200):
-        own, size = pitman_yor.move(own, size, c, np.array([0.1, 2.0, 5.0]), 0.5, rng)
-        assert (np.bincount(own, size, 3) == c).all() and (size > 0).all() and (np.diff(own) >= 0).all()
-        seen.add(tuple(np.bincount(own)))
-    assert len(seen) > 5
-
-
 # 3
 
 

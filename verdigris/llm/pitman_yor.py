@@ -10,12 +10,22 @@ strength s, a word's customers sit at tables, and every table is a customer of t
 by a hash of the word; one shuffle brings each hash range together. Words that make up a large share of all tokens are
 spread by context, so no range outgrows the others. Nothing of the vocabulary or the pairs is ever collected or broadcast
 but the totals of the ``contexts`` most frequent contexts, which have numbers, and the words spread, both of bounded
-number. Other contexts are named by their hash; ranges of hashes add their totals up and answer the word ranges.
+number. Other contexts are named by their hash; ranges of hashes add their totals up and answer the word ranges. Ranges
+hold about ``range_tokens`` training tokens each, whatever the session's settings.
 
-*Seating* is sampled by Gibbs in each range: in a round, every word of every restaurant has one random customer leave its
-table and sit down anew, at a table by its size less d, or at a new one by the parent's probability. Totals of a
-restaurant that spans ranges are, while sampling, a dish's own and those of the range's other dishes times the number of
-ranges (words are spread evenly), and exact sums when scoring. After ``burn`` rounds, ``samples`` seatings are kept, some rounds apart.
+*Seating* is sampled by Gibbs in each range. In a sweep every dish (a word in a restaurant) leaves, and its customers are
+seated anew: the sizes of its tables are summed out, and their number is drawn from its conditional distribution,
+
+    p(t) ~ S_d(c, t) prod_{j < t} (s + d (t_u' + j)) P_j(w),
+
+t_u' being the tables of the restaurant's other dishes and P_j(w) the parent's chance for one more customer after j
+(``draw_tables``: exact by generalised Stirling numbers for up to ``EXACT`` customers, by their asymptotic ratio beyond).
+A quarter of the dishes moves at a time, so that most see what their neighbours have just done. Tables that a restaurant
+has in other ranges are its dishes there, known exactly for contexts with numbers, times the tables a dish of this range;
+of other contexts the mean. The word restaurant's tables are drawn likewise, those of spread words from their own range's
+customers. After ``burn`` sweeps, ``samples`` seatings are kept, ``gap`` sweeps apart; their exact totals over all ranges
+are added up for scoring, where a range draws the same seatings again instead of storing them. Discounts are estimated
+from the numbers of dishes with one and two customers.
 
 *Scores.* Predictive probabilities are averaged over the seatings; each range adds up its share of every document's score
 and of the base score, and a last shuffle sums the shares. Perplexity is 10 ** (-score / n_tokens).
@@ -28,7 +38,8 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +59,10 @@ END, BEGIN = U(0x1234567_89ABCDEF), U(0xFEDCBA98_7654321)
 BLOCK_BYTES, BLOCK_DOCS = 3 << 20, 60_000
 #: Shares of scores are rounded to this part of one; a task adds up those of its ranges until they take so many bytes.
 FIXED, HELD_BYTES = 1 << 22, 32 << 20
+#: Customers of a dish up to which the numbers of tables have exact weights; columns held when drawing beyond.
+EXACT, WINDOW = 128, 129
+#: Postings that a task holds back, to send those of several blocks in one row.
+SEND_BYTES = 24 << 20
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -129,8 +144,16 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
     """Rows (g, block, blob): range g's postings of a block; below zero a block's documents."""
     other = len(context[0])
 
+    def sent(held: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
+        """A row for each range with the blobs of all blocks held."""
+        keys = sorted(held)
+        for at in range(0, len(keys), 16):
+            some = keys[at : at + 16]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([held[g][0][0] for g in some], pa.int64()), pa.array([pickle.dumps(held[g], protocol=5) for g in some], pa.binary())], ["g", "block", "blob"])
+        held.clear()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, held, size = TaskContext.get().partitionId(), {}, 0
         for k, b in enumerate(blocks(batches)):
             name = (part << 20) + k
             # look each distinct word up once
@@ -182,9 +205,14 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 w, w_at = np.unique(ent, return_index=True)
                 q = slice(p_edge[a], p_edge[z])
                 out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), np.minimum(e_u, other).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(sizes), own[e_u[e_u >= other] - other])))
-            for at in range(0, len(out), 16):
-                g, n, blob = zip(*out[at : at + 16])
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["g", "block", "blob"])
+            for g, n, blob in out:
+                held.setdefault(g, []).append((n, blob))
+                size += len(blob)
+            del out, p_key, p_doc, e_key, count, train
+            if size > SEND_BYTES:
+                yield from sent(held)
+                size = 0
+        yield from sent(held)
 
     return work
 
@@ -193,44 +221,168 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return _number(known, np.ones(len(known), np.int64), h, 0) > 0
 
 
-def move(own: np.ndarray, size: np.ndarray, customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One Gibbs step for each dish (of two customers or more): tables by dish ``own`` and their sizes, before and after.
+@lru_cache(maxsize=8)
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S_d(c, t), c and t up to ``most``."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, most):
+            out[c + 1] = np.logaddexp(np.concatenate([[-np.inf], out[c, :-1]]), np.log(np.maximum(c - d * t, 0)) + out[c])
+    return out
 
-    ``new``: the weight of a new table, (s + d t_u) P(w), by dish.
-    """
-    n = len(customers)
-    size = size.copy()
-    cum = np.cumsum(size)
-    base = np.cumsum(customers) - customers
-    at = np.searchsorted(cum, base + (rng.random(n) * customers).astype(np.int64), "right")
-    size[at] -= 1
-    tables = np.bincount(own, size > 0, n)
-    rest = customers - 1 - d * tables
-    opens = rng.random(n) * (rest + new) >= rest
-    weight = np.where(size > 0, size - d, 0.0)
-    cumw = np.cumsum(weight)
-    last = np.searchsorted(own, np.arange(n), "right") - 1
-    first = np.searchsorted(own, np.arange(n), "left")
-    lower = np.where(first > 0, cumw[first - 1], 0.0)
-    to = np.clip(np.searchsorted(cumw, lower + rng.random(n) * (cumw[last] - lower), "right"), first, last)
-    # rounding may hit an emptied table: then its customer opens one
-    opens |= size[to] == 0
-    size[to[~opens]] += 1
-    where = last[opens] + 1
-    own, size = np.insert(own, where, np.flatnonzero(opens)), np.insert(size, where, 1)
-    keep = size > 0
-    return own[keep], size[keep]
-
-
-def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
-    """Merge a range's postings and sample its seatings: one row with the range's data and totals."""
+
+@lru_cache(maxsize=8)
+def _saddle(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(c / t) and the logarithm of d t S_d(c, t + 1) / S_d(c, t) there, for many customers."""
+    u = np.concatenate([np.exp(np.linspace(-60, np.log(0.5), 2000)), 1 - np.exp(np.linspace(np.log(0.5), -14, 2000))[1:]])
+    rest = -np.expm1(d * np.log(u))
+    return np.log(d * (1 - u) * u ** (d - 1) / rest)[::-1], np.log(rest)[::-1]
+
+
+def draw_tables(c: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with ``c`` customers each, drawn from p(t) ~ S_d(c, t) prod_{j < t} weight(dish, j)."""
+    t = np.ones(len(c), np.int64)
+    order = np.argsort(c, kind="stable")
+    edge = np.searchsorted(c[order], np.arange(EXACT + 2))
+    table = stirling(d)
+    with np.errstate(divide="ignore"):
+        for size in range(2, EXACT + 1):
+            for lo in range(edge[size], edge[size + 1], max(1, (1 << 20) // size)):
+                own = order[lo : min(edge[size + 1], lo + max(1, (1 << 20) // size))]
+                log_p = np.zeros((len(own), size))
+                np.cumsum(np.log(weight(own[:, None], np.arange(1, size)[None, :])), axis=1, out=log_p[:, 1:])
+                log_p += table[size, 1 : size + 1]
+                t[own] += _pick(log_p, rng)
+        own = order[edge[EXACT + 1] :]
+        if len(own):
+            t[own] = _draw_many(own, c[own].astype(float), weight, d, rng)
+    return t
+
+
+def _pick(log_p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column for each row, by its weight."""
+    p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
+    np.cumsum(p, axis=1, out=p)
+    return (p < rng.random(len(p))[:, None] * p[:, -1:]).sum(axis=1)
+
+
+def _draw_many(own: np.ndarray, c: np.ndarray, weight, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Dishes of many customers: all numbers of tables around the mode, or its normal curve where that is wider."""
+    x, y = _saddle(d)
+
+    def ratio(own: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The logarithm of p(t + 1) / p(t)."""
+        return np.log(weight(own, t)) + np.interp(np.log(c / t), x, y, left=-np.inf) - np.log(d * t)
+
+    low, high = np.ones(len(c)), c.copy()
+    for _ in range(40):
+        mid = (low + high) / 2
+        up = ratio(own, c, mid) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    h = np.minimum(np.maximum(1.0, 0.02 * low), np.maximum((c - low) / 2, 1e-3))
+    lower = np.maximum(low - h, 1.0)
+    slope = (ratio(own, c, low + h) - ratio(own, c, lower)) / (low + h - lower)
+    sd = 1 / np.sqrt(np.maximum(-slope, 1e-12))
+    out = np.clip(np.rint(low + 0.5 + sd * rng.standard_normal(len(c))), 1, c)
+    near = np.flatnonzero(sd <= WINDOW / 10)
+    for at in range(0, len(near), 4096):
+        i = near[at : at + 4096]
+        first = np.maximum(1.0, np.rint(low[i]) - WINDOW // 2)
+        grid = first[:, None] + np.arange(WINDOW - 1)[None, :]
+        steps = ratio(own[i][:, None], c[i][:, None], np.minimum(grid, c[i][:, None]))
+        steps[grid >= c[i][:, None]] = -np.inf
+        log_p = np.concatenate([np.zeros((len(i), 1)), np.cumsum(steps, axis=1)], axis=1)
+        out[i] = first + _pick(log_p, rng)
+    return out.astype(np.int64)
+
+
+class Range:
+    """A range's dishes: words, contexts and customers, and what other ranges have of both."""
+
+    def __init__(self, w_of: np.ndarray, u_of: np.ndarray, c: np.ndarray, n_words: int, n_contexts: int, spread: np.ndarray, settings: dict):
+        self.settings, self.spread = settings, spread
+        some = np.flatnonzero(c > 0)
+        self.some, self.w, self.u, self.c = some, w_of[some], u_of[some], c[some]
+        self.n_words, self.n_contexts = n_words, n_contexts
+        # of contexts with numbers: dishes in other ranges
+        types = np.bincount(self.u, minlength=n_contexts).astype(float)
+        self.types, other = types, settings["other"]
+        self.others = np.zeros(n_contexts)
+        self.others[:other] = np.maximum(settings["types"] - types[:other], 0)
+        # of the rest: the mean, less the dish's own customers
+        rare = self.u >= other
+        share = rare.sum() / max(1, self.c[rare].sum())
+        self.unseen = np.where(rare & (settings["ranges"] > 1), share * np.maximum(settings["rare_mean"] - self.c, 0), 0.0)
+        self.hot = np.flatnonzero(spread >= 0)
+        m = np.bincount(self.w, minlength=n_words)
+        self.m_others, self.root_others = np.zeros(n_words), np.zeros(n_words)
+        self.m_others[self.hot] = np.maximum(settings["hot_types"][spread[self.hot]] - m[self.hot], 0)
+        self.all_others = max(0.0, settings["M"] - m.sum())
+        self.words_others = max(0.0, settings["V"] - (m > 0).sum())
+
+    def seatings(self, g: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each kept seating: tables of the dishes, of words as the parent's customers, and the parent's own."""
+        x = self.settings
+        d, s, d0, s0 = x["d"], x["s"], x["d0"], x["s0"]
+        rng = np.random.default_rng([x["seed"], g])
+        many = np.flatnonzero(self.c > 1)
+        t = np.ones(len(self.c), np.int64)
+        root = np.minimum(np.bincount(self.w, minlength=self.n_words), 1)
+        turn = rng.integers(0, 4, len(many))
+        last = x["burn"] + x["gap"] * (x["samples"] - 1)
+        for i in range(last + 1):
+            for part in range(4):
+                m = np.bincount(self.w, t, self.n_words)
+                t_u = np.bincount(self.u, t, self.n_contexts)
+                growth = float(m.sum()) / max(1, len(self.c))
+                more = self.others * (t_u + 10 * growth) / (self.types + 10)
+                m_all = m + self.m_others * growth
+                total = s0 + m.sum() + self.all_others * growth
+                k_all = root.sum() + self.words_others * (root.sum() / max(1, (root > 0).sum()))
+                new = (s0 + d0 * k_all) / (x["V"] + 1)
+                own = many[turn == part]
+                w, u = self.w[own], self.u[own]
+                start = s + d * (t_u[u] - t[own] + more[u] + self.unseen[own] * growth)
+                rest, k = m_all[w] - t[own], root[w] * (1 + self.m_others[w] / np.maximum(self.types_of(w), 1))
+
+                def weight(i: np.ndarray, j: np.ndarray, start=start, rest=rest, k=k, new=new, total=total) -> np.ndarray:
+                    there = rest[i] + j
+                    return (start[i] + d * j) * np.maximum(there - d0 * np.minimum(k[i], there) + new, 1e-300) / total
+
+                t[own] = draw_tables(self.c[own], weight, d, rng)
+            m = np.bincount(self.w, t, self.n_words).astype(np.int64)
+            root = self.word_tables(m, root, rng)
+            if i >= x["burn"] and (i - x["burn"]) % x["gap"] == 0:
+                yield t.copy(), m, root.copy()
+
+    def types_of(self, w: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "_word_types"):
+            self._word_types = np.bincount(self.w, minlength=self.n_words)
+        return self._word_types[w]
+
+    def word_tables(self, m: np.ndarray, root: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of each word in the word restaurant, given its customers."""
+        x = self.settings
+        d0, s0 = x["d0"], x["s0"]
+        out = np.minimum(m, 1)
+        dishes = np.flatnonzero(m > 1)
+        others = root.sum() + self.words_others * (root.sum() / max(1, (root > 0).sum()))
+        rest = np.maximum(others - root[dishes], 0)
+        out[dishes] = draw_tables(m[dishes], lambda i, j: (s0 + d0 * (rest[i] + j)) / (x["V"] + 1), d0, rng)
+        return out
+
+
+def _merge(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
+    """Merge a range's postings: one row with the range's dishes, its postings and its numbers of dishes."""
     g = key[0].as_py()
+    blobs = sorted(pair for b in table.column("blob") for pair in pickle.loads(b.as_py()))
     if g < 0:
-        return _row(g, table.column("blob")[0].as_py(), b"", b"", b"")
-    other, ranges, d, s, d0, s0 = (settings[k] for k in ("other", "ranges", "d", "s", "d0", "s0"))
-    order = np.argsort(table.column("block").to_numpy(), kind="stable")
-    names = table.column("block").to_numpy()[order]
-    parts = [_unpack(table.column("blob")[int(i)].as_py()) for i in order]
+        return _row(g, blobs[0][1], b"", b"")
+    other = settings["other"]
+    names, parts = [n for n, _ in blobs], [_unpack(b) for _, b in blobs]
+    del blobs
     words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     rare = np.unique(np.concatenate([p[8] for p in parts]))  # contexts without a number
     entry, at = [], 0
@@ -239,7 +391,6 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
         u[u == other] += np.searchsorted(rare, own)
         entry.append((np.repeat(back[at : at + len(w)], runs_) << 32) | u)
         at += len(w)
-    n_contexts = other + len(rare)
     entries, number = np.unique(np.concatenate(entry), return_inverse=True)
     number = number.astype(np.int32)
     del entry, back
@@ -247,66 +398,51 @@ def _seat(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
     w_of, u_of = entries >> 32, entries & LOW
     n_words = len(words)
     c_word = np.bincount(w_of, c, n_words).astype(np.int64)
-    # dishes with two customers or more can be seated in more than one way
-    rng = np.random.default_rng([settings["seed"], g])
-    one = c > 0
-    dishes = np.flatnonzero(c > 1)
-    dw, du, dc = w_of[dishes], u_of[dishes], c[dishes]
-    own, size = np.arange(len(dishes)), dc.copy()
-    fixed_t = np.bincount(u_of[one], minlength=n_contexts)
-    fixed_m = np.bincount(w_of[one], minlength=n_words)
-    t = np.ones(len(dishes), np.int64)
-    root = (c_word > 0).astype(np.int64)
-    kept_t, kept_m, kept_root = [], [], []
-    known = max(1, settings["V"])
-    rounds = settings["burn"] + settings["gap"] * (settings["samples"] - 1) + 1
-    for i in range(rounds):
-        if len(dishes):
-            m = fixed_m + np.bincount(dw, t - 1, n_words)
-            total = max(1.0, float(m.sum()) * ranges)
-            p = (m - d0 * root + (s0 + d0 * root.sum() * ranges) / (known + 1)) / (s0 + total)
-            t_u = fixed_t + np.bincount(du, t - 1, n_contexts)
-            t_u = t + (t_u[du] - t) * ranges  # a dish sees itself in any case, others in its range only
-            own, size = move(own, size, dc, (s + d * t_u) * p[dw], d, rng)
-            t = np.bincount(own, minlength=len(dishes))
-        if i >= settings["burn"] and (i - settings["burn"]) % settings["gap"] == 0:
-            m = (fixed_m + np.bincount(dw, t - 1, n_words)).astype(np.int64)
-            root = _root(m, d0, (s0 + d0 * root.sum() * ranges) / (known + 1), rng)
-            kept_t.append(t.copy())
-            kept_m.append(m)
-            kept_root.append(root)
-    hot = settings["hot"]
-    spread = _number(hot, np.arange(len(hot)), words, -1)
-    extra = [_small(x - 1) for x in kept_t]
+    spread = _number(settings["hot"], np.arange(len(settings["hot"])), words, -1)
     postings = []
     at = 0
-    for name, (_, _, u, n, _, doc, count, n_docs, _) in zip(names.tolist(), parts):
+    for name, (_, _, u, n, _, doc, count, n_docs, _) in zip(names, parts):
         own_entries = number[at : at + len(u)]
         at += len(u)
         postings.append((name, _small(np.diff(own_entries, prepend=0)), n, doc, count, n_docs))
-    data = _pack(_small(np.diff(w_of, prepend=0)), np.minimum(u_of, other).astype(np.uint16), _small(u_of[u_of >= other] - other), _small(c), dishes.astype(np.uint32), extra, _small(c_word), [_small(x) for x in kept_m], [_small(x) for x in kept_root], spread)
-    sums, of_rare = {}, [np.bincount(u_of, c, n_contexts)[other:]]
-    for i in range(len(kept_t)):
-        t_u = (fixed_t + np.bincount(du, kept_t[i] - 1, n_contexts)).astype(np.int64)
-        of_rare.append(t_u[other:])
-        sums[i] = t_u[:other], int(kept_m[i].sum()), int(kept_root[i].sum()), [np.bincount(spread[spread >= 0], x[spread >= 0], len(hot)).astype(np.int64) for x in (kept_m[i], kept_root[i])]
-    return _row(g, data, _pack(postings), _pack(sums), _pack(rare, *(_small(x.astype(np.int64)) for x in of_rare)))
-
-
-def _root(m: np.ndarray, d: float, new: float, rng: np.random.Generator, rounds: int = 4) -> np.ndarray:
-    """Tables of each word in the word restaurant, given its customers."""
-    out = (m > 0).astype(np.int64)
-    dishes = np.flatnonzero(m > 1)
-    if len(dishes):
-        own, size, c = np.arange(len(dishes)), m[dishes].copy(), m[dishes]
-        for _ in range(rounds):
-            own, size = move(own, size, c, np.full(len(dishes), new), d, rng)
-        out[dishes] = np.bincount(own, minlength=len(dishes))
-    return out
+    data = _pack(_small(np.diff(w_of, prepend=0)), np.minimum(u_of, other).astype(np.uint16), _small(u_of[u_of >= other] - other), _small(c), _small(c_word), spread, rare)
+    one = c > 0
+    m = np.bincount(w_of[one], minlength=n_words).astype(np.int64)
+    cold = m[spread < 0]
+    about = np.array([m.sum(), (c == 1).sum(), (c == 2).sum(), (cold == 1).sum(), (cold == 2).sum()])
+    sums = {0: (np.bincount(np.minimum(u_of[one], other), minlength=other + 1)[:other].astype(np.int64), about, np.bincount(spread[spread >= 0], m[spread >= 0], len(settings["hot"])).astype(np.int64))}
+    return _row(g, data, _pack(postings), _pack(sums))
+
+
+def _opened(data: bytes, settings: dict) -> tuple[Range, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A range, and its entries' words, contexts and customers, its words' tokens, spread words and hashed contexts."""
+    w_of, code, of_rare, c, c_word, spread, rare = _unpack(data)
+    u_of = code.astype(np.int64)
+    u_of[u_of == settings["other"]] += of_rare
+    w_of, c = np.cumsum(w_of, dtype=np.int64), c.astype(np.int64)
+    return Range(w_of, u_of, c, len(c_word), settings["other"] + len(rare), spread, settings), w_of, u_of, c, c_word.astype(np.int64), spread, rare
+
+
+def _sampled(settings: dict):
+    """Rows (g, sums, rare): totals of a range's kept seatings."""
+    other, hot = settings["other"], len(settings["hot"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, data in zip(b.column("g").to_pylist(), b.column("data").to_pylist()):
+                r, _, u_of, c, _, spread, rare = _opened(data, settings)
+                sums, of_rare = {}, [np.bincount(u_of, c, r.n_contexts)[other:]]
+                for i, (t, m, root) in enumerate(r.seatings(g)):
+                    t_u = np.bincount(r.u, t, r.n_contexts).astype(np.int64)
+                    of_rare.append(t_u[other:])
+                    sums[i] = t_u[:other], np.array([m.sum(), root.sum()]), *(np.bincount(spread[spread >= 0], x[spread >= 0], hot).astype(np.int64) for x in (m, root))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_pack(sums)], pa.binary()), pa.array([_pack(rare, *(_small(x.astype(np.int64)) for x in of_rare))], pa.binary())], ["g", "sums", "rare"])
+
+    return work
 
 
-def _row(g: int, data: bytes, postings: bytes, sums: bytes, rare: bytes) -> pa.Table:
-    return pa.table([pa.array([g], pa.int64()), pa.array([data], pa.binary()), pa.array([postings], pa.binary()), pa.array([sums], pa.binary()), pa.array([rare], pa.binary())], names=["g", "data", "postings", "sums", "rare"])
+def _row(g: int, data: bytes, postings: bytes, sums: bytes) -> pa.Table:
+    return pa.table([pa.array([g], pa.int64()), *(pa.array([x], pa.binary()) for x in (data, postings, sums))], names=["g", "data", "postings", "sums"])
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +450,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
         for blob in b.column("sums").to_pylist():
-            for i, (t_u, m, root, (hot_m, hot_root)) in _unpack(blob)[0].items():
-                for kind, x in enumerate((t_u, np.array([m, root]), hot_m, hot_root)):
+            for i, kinds in _unpack(blob)[0].items():
+                for kind, x in enumerate(kinds):
                     found[i, kind] = found[i, kind] + x if (i, kind) in found else x
     for (i, kind), x in found.items():
         some = np.flatnonzero(x)
@@ -347,38 +483,38 @@ def _answered(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([table.column("bucket"), table.column("g"), pa.array(blobs, pa.binary())], names=["bucket", "g", "blob"])
 
 
+def _chances(g: int, data: bytes, answers: list | None, settings: dict, totals: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Words and contexts of a range's entries, their chances averaged over the seatings, and their words' training tokens."""
+    d, s, d0, s0, v = (settings[k] for k in ("d", "s", "d0", "s0", "V"))
+    r, w_of, u_of, c, c_word, spread, _ = _opened(data, settings)
+    answers = [_unpack(a["blob"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+    # the contexts with a number, then the range's others
+    rare_c, *rare_t = [np.concatenate(x).astype(float) for x in zip(*answers)] or [np.zeros(0)] * (1 + len(totals))
+    c_all = np.concatenate([settings["c_u"], rare_c])[u_of]
+    hot = spread >= 0
+    c_word[hot] = settings["hot_n"][spread[hot]]
+    p = np.zeros(len(w_of))
+    for i, (own_t, m, root) in enumerate(r.seatings(g)):
+        t_u, (m_all, t_all), hot_m, hot_root = totals[i]
+        m, root, t = m.astype(float), root.astype(float), np.zeros(len(c))
+        m[hot], root[hot] = hot_m[spread[hot]], hot_root[spread[hot]]
+        parent = ((m - d0 * root + (s0 + d0 * t_all) / (v + 1)) / (s0 + m_all))[w_of]
+        t[r.some] = own_t
+        p += (c - d * t + (s + d * np.concatenate([t_u, rare_t[i]])[u_of]) * parent) / (s + c_all)
+    return w_of, u_of, p / len(totals), c_word[w_of]
+
+
 def _shares(settings: dict, totals: dict[int, list[np.ndarray]]):
     """Rows (block, g, blob): shares of the scores of a block's documents, from the ranges up to g."""
-    other, d, s, d0, s0, n, v = (settings[k] for k in ("other", "d", "s", "d0", "s0", "N", "V"))
-    c_u = settings["c_u"]
+    n, v = settings["N"], settings["V"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         size = g = 0
         for b in batches:
             for g, data, posted, answers in zip(*(b.column(x).to_pylist() for x in ("g", "data", "postings", "answers"))):
-                w_of, code, of_rare, c, dishes, extra, c_word, ms, roots, spread = _unpack(data)
-                answers = [_unpack(a["blob"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
-                # the contexts with a number, then the range's others
-                rare_c, *rare_t = [np.concatenate(x).astype(float) for x in zip(*answers)] or [np.zeros(0)] * (1 + len(totals))
-                u_of = code.astype(np.int64)
-                u_of[u_of == other] += of_rare
-                c_all = np.concatenate([c_u, rare_c])[u_of]
-                w_of = np.cumsum(w_of, dtype=np.int64)
-                c, c_word = c.astype(float), c_word.astype(np.int64)
-                hot = spread >= 0
-                c_word[hot] = settings["hot_n"][spread[hot]]
-                p = np.zeros(len(w_of))
-                for i, (t_u, (m_all, t_all), hot_m, hot_root) in totals.items():
-                    m, root = ms[i].astype(float), roots[i].astype(float)
-                    m[hot], root[hot] = hot_m[spread[hot]], hot_root[spread[hot]]
-                    parent = ((m - d0 * root + (s0 + d0 * t_all) / (v + 1)) / (s0 + m_all))[w_of]
-                    t = (c > 0).astype(float)
-                    t[dishes] += extra[i]
-                    p += (c - d * t + (s + d * np.concatenate([t_u, rare_t[i]])[u_of]) * parent) / (s + c_all)
-                log_p = np.log10(p / len(totals))
-                log_base = np.log10((c_word + 1.0) / (n + v + 1.0))[w_of]
-                known = (c_word > 0)[w_of]
+                _, _, p, c_word = _chances(g, data, answers, settings, totals)
+                log_p, log_base, known = np.log10(p), np.log10((c_word + 1.0) / (n + v + 1.0)), c_word > 0
                 for name, step, times, doc, count, n_docs in _unpack(posted)[0]:
                     e = np.repeat(np.cumsum(step, dtype=np.int64), times)
                     count = count.astype(float)
@@ -442,20 +578,35 @@ def _frequent(counts: DataFrame, most: int) -> list:
     return [] if least is None else counts.filter(F.col("n") >= least).orderBy("w").collect()
 
 
-def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float = 0.8, strength: float = 1.0, burn: int = 4, samples: int = 3, gap: int = 2, seed: int = 11, range_tokens: int = 700_000) -> DataFrame:
+def _collected(rows: DataFrame, sizes: tuple[int, ...], samples: int) -> dict[int, list[np.ndarray]]:
+    """The totals of all ranges: for each sample, arrays of these sizes."""
+    totals = {i: [np.zeros(n) for n in sizes] for i in range(samples)}
+    for r in rows.select("sums").mapInArrow(_totals, "sample long, kind long, number long, n long").groupBy("sample", "kind", "number").agg(F.sum("n").alias("n")).collect():
+        totals[r["sample"]][r["kind"]][r["number"]] = r["n"]
+    return totals
+
+
+def _discount(n1: float, n2: float, default: float) -> float:
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else default
+
+
+def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float | None = None, strength: float = 1.0, burn: int = 3, samples: int = 3, gap: int = 1, seed: int = 11, range_tokens: int = 700_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     ``contexts``: how many contexts have numbers, at most 65,533, so that one takes two bytes: those above a level of
-    frequency that no more than so many words reach. The results don't depend on it but for chance.
+    frequency that no more than so many words reach. The results don't depend on it but for chance. ``discount``: of the
+    restaurants of preceding words, instead of the estimate.
     """
     spark = docs.sparkSession
     local_arrow_rows(spark)
     counts = materialize(word_counts(docs), "words")
-    n, v, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    d0 = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else 0.5
-    ranges = max(1, min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / range_tokens))))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = max(1, min(1 << 20, math.ceil(n / range_tokens)))
     end = int(T.signed(np.array([END]))[0])
     top = _frequent(counts.filter(F.col("w") != end), min(contexts, 65_533))
+    least = min((r["n"] for r in top), default=None)
+    below = counts.filter(F.col("w") != end) if least is None else counts.filter((F.col("n") < least) & (F.col("w") != end))
+    square, total = below.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
     hashes = np.array([r["w"] for r in top], np.int64).view(np.uint64)
     context = np.append(hashes, BEGIN)
     order = np.argsort(context)
@@ -464,26 +615,27 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float =
     spread = counts.filter(F.col("n") * 4 * ranges > n).collect()  # fewer than four for each range
     hot = np.array([r["w"] for r in spread], np.int64).view(np.uint64)
     hot_order = np.argsort(hot)
-    settings = {
-        "other": len(context), "ranges": ranges, "d": discount, "s": strength, "d0": d0, "s0": strength, "N": n, "V": v, "seed": seed, "burn": burn, "samples": samples, "gap": gap,
-        "hot": hot[hot_order], "hot_n": np.array([r["n"] for r in spread], np.int64)[hot_order], "c_u": c_u,
+    light = {"other": len(context), "hot": hot[hot_order]}
+    rows = docs.select("doc_id", "text").mapInArrow(_postings((context[order], order), light["hot"], ranges), "g long, block long, blob binary")
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        return _merge(key, table, light)
+
+    merged = materialize(rows.groupBy("g").applyInArrow(merge, "g long, data binary, postings binary, sums binary"), "postings")
+    parts = merged.filter("g >= 0")
+    types, (dishes, once, twice, words_once, words_twice), hot_types = _collected(parts, (len(context), 5, len(hot)), 1)[0]
+    settings = light | {
+        "ranges": ranges, "d": _discount(once, twice, 0.8) if discount is None else discount, "s": strength, "d0": _discount(words_once, words_twice, 0.5), "s0": strength, "N": n, "V": v, "M": dishes, "types": types,
+        "hot_types": hot_types, "rare_mean": square / total if total else 0.0, "seed": seed, "burn": burn, "samples": samples, "gap": gap,
     }
-    rows = docs.select("doc_id", "text").mapInArrow(_postings((context[order], order), settings["hot"], ranges), "g long, block long, blob binary")
-    light = {k: x for k, x in settings.items() if k not in ("c_u", "hot_n")}
-
-    def seat(key: tuple, table: pa.Table) -> pa.Table:
-        return _seat(key, table, light)
-
-    seated = materialize(rows.groupBy("g").applyInArrow(seat, "g long, data binary, postings binary, sums binary, rare binary"), "seatings")
-    parts = seated.filter("g >= 0")
-    totals = {i: [np.zeros(len(context)), np.zeros(2), np.zeros(len(hot)), np.zeros(len(hot))] for i in range(samples)}
-    for r in parts.select("sums").mapInArrow(_totals, "sample long, kind long, number long, n long").groupBy("sample", "kind", "number").agg(F.sum("n").alias("n")).collect():
-        totals[r["sample"]][r["kind"]][r["number"]] = r["n"]
+    sampled = materialize(parts.select("g", "data").mapInArrow(_sampled(settings), "g long, sums binary, rare binary"), "seatings")
+    totals = _collected(sampled, (len(context), 2, len(hot), len(hot)), samples)
     buckets = max(1, ranges // 16)
-    answers = parts.select("g", "rare").mapInArrow(_sent(buckets), "bucket long, g long, blob binary").groupBy("bucket").applyInArrow(_answered, "bucket long, g long, blob binary")
+    answers = sampled.select("g", "rare").mapInArrow(_sent(buckets), "bucket long, g long, blob binary").groupBy("bucket").applyInArrow(_answered, "bucket long, g long, blob binary")
     answers = answers.groupBy("g").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-    shares = parts.select("g", "data", "postings").join(answers, "g", "left").mapInArrow(_shares(settings, totals), "block long, g long, blob binary")
-    lists = seated.filter("g < 0").select((-1 - F.col("g")).alias("block"), "g", F.col("data").alias("blob"))
+    scoring = settings | {"c_u": c_u, "hot_n": np.array([r["n"] for r in spread], np.int64)[hot_order]}
+    shares = parts.select("g", "data", "postings").join(answers, "g", "left").mapInArrow(_shares(scoring, totals), "block long, g long, blob binary")
+    lists = merged.filter("g < 0").select((-1 - F.col("g")).alias("block"), "g", F.col("data").alias("blob"))
     return lists.unionByName(shares).groupBy("block").applyInArrow(_finish(n), SCORES)
 
 
