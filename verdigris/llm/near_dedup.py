@@ -12,7 +12,7 @@ once.
 
 *Candidates.* Slots are hashed in ``bands`` of ``rows``: at the threshold 0.8 all bands miss a pair with a chance of
 (1 - 0.8^rows)^bands, 3e-6 for 32 x 5. Inside a bucket, members are ranked; each round compares the next centers, in
-doubling numbers, with later members that aren't in their component yet, until no bucket has unexamined pairs across
+growing numbers, with later members that aren't in their component yet, until no bucket has unexamined pairs across
 components. So a bucket of thousands of near copies costs one star, not all pairs, and none is capped. A few bands go
 first; what they link needs no more pairs in the others. Members of large buckets are ranked in many tasks.
 
@@ -265,7 +265,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, bands: int,
         return None
     sets = wanted_sets(docs, classes.join(members.select("node").distinct(), "node", "left_semi"))
     labels: DataFrame | None = None
-    edges = [0, max(1, bands // 8), max(1, bands // 2), bands]
+    edges = [0, max(1, bands // 8), bands]
     for low, high in zip(edges[:-1], edges[1:]):
         group = members.filter((F.col("band") >= low) & (F.col("band") < high))
         at, centers = 0, 1
@@ -276,13 +276,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, bands: int,
                 now = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
                 split = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("last")).filter(f"x < y AND last > {at}").select("key")
                 now = materialize(now.join(split, "key"), "open")
-            if now.filter(f"rank > {at}").isEmpty():
+            last, left_over = now.agg(F.max("rank"), F.sum(F.greatest(F.col("rank") - at, F.lit(0)))).first()
+            if last is None or last <= at:
                 break
+            if at and left_over <= few_links:
+                centers = last + 1
             left = now.filter(f"rank >= {at} AND rank < {at + centers}").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
             right = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
             near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("rb") > F.col("ra")) & (F.col("la") != F.col("lb"))
             pairs = left.join(right, "key").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "la", "lb").distinct()
-            links = materialize(verified(pairs, sets, percent).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+            pairs = materialize(pairs, "pairs")
+            wanted = sets
+            if pairs.count() <= few_links:  # then only their sets are shuffled; 2 few_links numbers at most are broadcast
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                wanted = sets.join(F.broadcast(ends), "node", "left_semi")
+            links = materialize(verified(pairs, wanted, percent).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+            forget(pairs)
             if labels is not None:
                 forget(now)
             moved, n = joined(links, few_links)
@@ -298,7 +307,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, bands: int,
                     forget(labels)
                 labels = fresh
             forget(links)
-            at, centers = at + centers, centers * 2
+            at, centers = at + centers, centers * 4
     forget(sets)
     forget(members)
     return labels

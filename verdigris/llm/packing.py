@@ -3,8 +3,9 @@
 Every document becomes its ids and a final id; only one longer than the capacity is cut, into pieces of the capacity.
 Partitions pack their pieces best-fit (longest first, into the fullest bin with room). Bins filled to at least ``full``
 of the capacity are done. The rest become items of their own: groups of ``fan_in`` partitions' underfull bins are
-packed best-fit again, and so on up a tree until one group is left or a round saves nothing. A group holds no more than
-``most`` bins, so no task gets an unbounded share however much is left over.
+packed best-fit again, and so on up a tree until one group is left. A group holds about ``most`` bins and ``most_pieces``
+pieces at most, so no task gets an unbounded share however much is left over; where that leaves several groups at the
+top, rounds with other neighbours follow until one saves less than a bin in a thousand.
 
 Null and empty texts are one piece holding the final id alone. Repeated rows are packed each by itself; ties in
 length go by document and piece. An empty table gives an empty result.
@@ -103,7 +104,7 @@ def _repack(capacity: int, tag: int):
     return again
 
 
-def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1, full: float = 0.995, fan_in: int = 8, most: int = 200_000) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1, full: float = 0.995, fan_in: int = 8, most: int = 200_000, most_pieces: int = 1_000_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
     spark = docs.sparkSession
     local_arrow_rows(spark)
@@ -132,19 +133,20 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = 4
     done = [rows.filter(F.col("fill") >= need)]
     rest = rows.filter(F.col("fill") < need)
     groups, level = max(1, rows.rdd.getNumPartitions()), 0
-    bins = rest.select(F.count_distinct("bin")).first()[0]
+    bins, n = rest.select(F.count_distinct("bin"), F.count(F.lit(1))).first()
     while bins > 1:
         level += 1
-        groups = max(-(-groups // fan_in), -(-bins // most))
-
+        least = max(-(-bins // most), -(-n // most_pieces))
+        top = groups <= least * fan_in
+        groups = max(-(-groups // fan_in), least)
         keyed = rest.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
         rows = materialize(keyed.groupBy("g").applyInPandas(_repack(capacity, level << 56), ROWS), "packed")
         after = rows.select(F.count_distinct("bin")).first()[0]
         done.append(rows.filter(F.col("fill") >= need))
         rest = rows.filter(F.col("fill") < need)
-        if groups == 1 or after > 0.99 * bins and groups * most < 2 * bins:
+        if groups == 1 or top and after > 0.999 * bins:
             break
-        bins = rest.select(F.count_distinct("bin")).first()[0]
+        bins, n = rest.select(F.count_distinct("bin"), F.count(F.lit(1))).first()
     out = rest
     for d in done:
         out = out.unionByName(d)
