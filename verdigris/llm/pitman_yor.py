@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import text as T
-from verdigris.session import load, local_arrow_rows, materialize
+from verdigris.session import load, local_arrow_rows, materialize, scratch
 
 U = np.uint64
 #: An entry's key is its word's number above its context's.
@@ -590,6 +591,17 @@ def _discount(n1: float, n2: float, default: float) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else default
 
 
+def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """Written to the shared folder in buckets of ``by``, so that a later join with rows spread alike leaves it in place."""
+    spark = df.sparkSession
+    name = f"postings_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{scratch(spark).rstrip('/')}/{name}").bucketBy(buckets, by).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float | None = None, strength: float = 1.0, burn: int = 3, samples: int = 3, gap: int = 1, seed: int = 11, range_tokens: int = 700_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
@@ -621,7 +633,8 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float |
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         return _merge(key, table, light)
 
-    merged = materialize(rows.groupBy("g").applyInArrow(merge, "g long, data binary, postings binary, sums binary"), "postings")
+    spans = min(ranges, 4096)
+    merged = _bucketed(rows.repartition(spans, "g").groupBy("g").applyInArrow(merge, "g long, data binary, postings binary, sums binary"), "g", spans)
     parts = merged.filter("g >= 0")
     types, (dishes, once, twice, words_once, words_twice), hot_types = _collected(parts, (len(context), 5, len(hot)), 1)[0]
     settings = light | {
@@ -632,7 +645,7 @@ def pitman_yor_scores(docs: DataFrame, contexts: int = 60_000, discount: float |
     totals = _collected(sampled, (len(context), 2, len(hot), len(hot)), samples)
     buckets = max(1, ranges // 16)
     answers = sampled.select("g", "rare").mapInArrow(_sent(buckets), "bucket long, g long, blob binary").groupBy("bucket").applyInArrow(_answered, "bucket long, g long, blob binary")
-    answers = answers.groupBy("g").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+    answers = answers.repartition(spans, "g").groupBy("g").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
     scoring = settings | {"c_u": c_u, "hot_n": np.array([r["n"] for r in spread], np.int64)[hot_order]}
     shares = parts.select("g", "data", "postings").join(answers, "g", "left").mapInArrow(_shares(scoring, totals), "block long, g long, blob binary")
     lists = merged.filter("g < 0").select((-1 - F.col("g")).alias("block"), "g", F.col("data").alias("blob"))
