@@ -156,3 +156,130 @@ def test_scan(spark, tmp_path):
     assert rows["c.epub"].title == "Book" and rows["bad.epub"].error
     out = {r.path.rpartition("/")[2]: r for r in C.convert_files(files).collect()}
     assert out["n.txt"].markdown == "t" and out["bad.epub"].error
+
+
+ARTICLE = (
+    '<html><head><title>Newt - Enc</title></head><body><nav>menu</nav><h1><span class="x mw-page-title-main">Newt &amp; eft</span></h1>'
+    '<div id="mw-content-text" class="c"><div>A <b>newt</b>.<br><img src="n.png" alt="n"></div><script>no()</script><style>no{}</style><p>More</p></div><footer>foot</footer></body></html>'
+)
+
+
+def test_articles():
+    page = C.Info(url="https://en.wikipedia.org/wiki/Newt", mime_type="text/html")
+    text, title, error = C.convert(ARTICLE.encode(), page)
+    assert error is None and title == "Newt & eft" and text.startswith("# Newt & eft\n\nA **newt**.") and text.endswith("More")
+    assert all(x not in text for x in ("menu", "foot", "no"))
+    assert C.convert(b"<title>T</title><h1>Plain</h1>", page)[:2] == ("# Plain", "T")
+    assert "menu" in C.convert(ARTICLE.encode(), C.Info(url="https://example.org/wiki/Newt", mime_type="text/html"))[0]
+    untitled = C.convert(b'<title>Only &lt;this&gt;</title><div id="mw-content-text">x', page)
+    assert untitled[:2] == ("# Only <this>\n\nx", "Only <this>")
+
+
+def test_videos(monkeypatch):
+    page = (
+        '<meta property="og:title" content="A &quot;talk&quot;"><meta content="PT2M" itemprop="duration"><meta itemprop="interactionCount" content="12"><meta name="keywords" content="a, b"><meta name="description" content="short">'
+        r'<script>{"shortDescription":"first\nsecond \u00e9 \"q\"","captionTracks":[{"baseUrl":"https://cap.example/t?a=1\u0026b=2"}]}</script>'
+    )
+    info = C.Info(url="https://www.youtube.com/watch?v=x", mime_type="text/html")
+    want = '# A "talk"\n\nhttps://www.youtube.com/watch?v=x\n\n## Video Metadata\n\n- **Views:** 12\n- **Duration:** PT2M\n- **Keywords:** a, b\n\n## Description\n\nfirst\nsecond é "q"'
+    assert C.convert(page.encode(), info) == (want, 'A "talk"', None)
+    asked = []
+    monkeypatch.setattr(C.web_pages, "fetch_captions", lambda url: asked.append(url) or "<transcript><text start='1'>one &amp;amp; two</text><text> </text><text>three</text></transcript>")
+    assert C.convert(page.encode(), info)[0] == want + "\n\n## Transcript\n\none & two\nthree"
+    assert asked == ["https://cap.example/t?a=1&b=2"]
+    monkeypatch.setattr(C.web_pages, "fetch_captions", lambda url: 1 / 0)
+    assert C.convert(page.encode(), info)[0] == want
+    assert C.convert(b"<title>t</title>", C.Info(url="https://youtu.be/x"))[0] == "# t\n\nhttps://youtu.be/x"
+
+
+def test_search_pages():
+    import base64
+
+    code = "a1" + base64.urlsafe_b64encode(b"https://example.org/x?y=1&z=2").decode().rstrip("=")
+    page = f'<title>q &amp; s</title><ol><li class="b_algo"><a class="tptt" href="https://www.bing.com/ck/a?p=1&amp;u={code}">Name</a><i class="algoSlug_icon">ICON</i><p>About it</p></li><li class="b_algo"><a href="https://plain.example/?u=zz%21">B</a></li></ol><div>other</div>'
+    text, title, error = C.convert(page.encode(), C.Info(url="https://www.bing.com/search?q=two%20words&x=1", mime_type="text/html"))
+    assert error is None and title == "q & s"
+    assert text.startswith("## A Bing search for 'two words' found the following results:\n\n") and "[Name ](https://example.org/x?y=1&z=2)" in text
+    assert "ICON" not in text and "other" not in text and "https://plain.example/?u=zz%21" in text
+
+
+def test_pages_by_url(spark):
+    rows = [("1", ARTICLE, "https://de.wikipedia.org/wiki/M", "text/html"), ("2", "<h1>x</h1>", "https://example.org/a.html", None), ("3", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, html string, url string, mime string")
+    out = {r.path: r for r in C.convert_files(df, "id", "html", url="url", mime="mime").collect()}
+    assert out["1"].title == "Newt & eft" and out["2"].markdown == "# x" and out["3"].error == "no content"
+
+
+def test_dates():
+    from datetime import datetime
+
+    for text, want in (("D:20240315120000+02'30'", datetime(2024, 3, 15, 9, 30)), ("20240315", datetime(2024, 3, 15)), ("D:20240315235959-01'00", datetime(2024, 3, 16, 0, 59, 59)), ("D:20241399", None), ("2024", None), (None, None)):
+        assert C.pdf_date(text) == want, text
+    for text, want in (("2021", datetime(2021, 1, 1)), ("2021-05", datetime(2021, 5, 1)), ("2024-03-24T10:00:00+02:00", datetime(2024, 3, 24, 8)), ("Mon, 01 Jan 2024 10:00:00 GMT", datetime(2024, 1, 1, 10)), ("soon", None), ("", None)):
+        assert C.loose_date(text) == want, text
+
+
+def test_book_dates():
+    from datetime import datetime
+
+    opf = '<package><metadata><date event="modification">2020-01-01</date><date event="Publication">2018-02-03</date><title>B</title></metadata><manifest/><spine/></package>'
+    raw = pack(**{"META-INF/container.xml": '<container><rootfiles><rootfile full-path="o.opf"/></rootfiles></container>', "o.opf": opf})
+    assert C.book_metadata(raw, "a.epub")["published_date"] == datetime(2018, 2, 3)
+    raw = pdf().replace(b"/Title (T)", b"/Title (T) /CreationDate (D:20200102030405Z) /ModDate (D:20210102)")
+    m = C.book_metadata(raw, "a.pdf")
+    assert m["published_date"] == datetime(2020, 1, 2, 3, 4, 5) and m["modified_date"] == datetime(2021, 1, 2)
+
+
+def compound(streams):
+    """A compound file of 512-byte sectors: the mini stream holds all streams."""
+    mini, entries, at = b"", [], 0
+    fat = []
+    for name, body in streams.items():
+        size = -(-len(body) // 64) * 64
+        entries.append((name, 2, at // 64, len(body)))
+        mini += body.ljust(size, b"\0")
+        fat += [*range(at // 64 + 1, (at + size) // 64), 0xFFFFFFFE]
+        at += size
+    n_mini = max(1, -(-len(mini) // 512))
+    directory = [("Root Entry", 5, 3, len(mini)), *entries]
+    n_dir = -(-len(directory) * 128 // 512)
+    # sectors: 0 fat, 1 mini fat, 2 unused, 3 .. mini stream, then the directory
+    first = 3 + n_mini
+    chain = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE, *range(4, 3 + n_mini), 0xFFFFFFFE, *range(first + 1, first + n_dir), 0xFFFFFFFE]
+    out = bytearray(512)
+    out[:8] = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    struct.pack_into("<HH", out, 30, 9, 6)
+    struct.pack_into("<I", out, 48, first)
+    struct.pack_into("<III", out, 56, 4096, 1, 1)
+    struct.pack_into("<109I", out, 76, 0, *[0xFFFFFFFF] * 108)
+    words = lambda x: struct.pack("<128I", *x, *[0xFFFFFFFF] * (128 - len(x)))
+    body = b""
+    for name, kind, start, size in directory:
+        raw = name.encode("utf-16-le") + b"\0\0"
+        e = bytearray(128)
+        e[: len(raw)] = raw
+        struct.pack_into("<HB", e, 64, len(raw), kind)
+        struct.pack_into("<IQ", e, 116, start, size)
+        body += bytes(e)
+    return bytes(out) + words(chain) + words(fat) + bytes(512) + mini.ljust(n_mini * 512, b"\0") + body.ljust(n_dir * 512, b"\0")
+
+
+def test_outlook_message():
+    text = lambda s: s.encode("utf-16-le")
+    raw = compound({"__substg1.0_0037001F": text("Plans"), "__substg1.0_0C1F001F": text("ann@x.example"), "__substg1.0_1000001F": text("Hello\n" * 40), "__substg1.0_0E04001F": text("bo@x.example")})
+    got = C.convert(raw, C.Info(file_name="a.msg"))
+    assert got == ("# Email Message\n\n**From:** ann@x.example\n**To:** bo@x.example\n**Subject:** Plans\n\n## Content\n\n" + ("Hello\n" * 40).rstrip(), "Plans", None)
+    assert C.convert(compound({"other": b"x"}), C.Info(file_name="a.msg"))[0] == "# Email Message"
+
+
+def test_mp3_tags():
+    frame = lambda k, body: k + struct.pack(">IH", len(body), 0) + body
+    raw = b"ID3\3\0\0" + bytes(4) + frame(b"TIT2", b"\x01" + "Söng".encode("utf-16")) + frame(b"TXXX", b"\0x") + frame(b"TPE1", b"\x03Ann\0") + bytes(20)
+    assert C.convert(raw, C.Info(file_name="a.mp3"))[0] == "Title: Söng\nArtist: Ann"
+    assert C.convert(b"\xff\xfb" + bytes(50), C.Info(file_name="a.mp3"))[0] == "_No metadata found._"
+
+
+def test_choose_columns():
+    from verdigris.operators.catalog import DEFAULT, choose_columns
+
+    assert choose_columns(None) == (DEFAULT, []) and choose_columns("Name, size,odd") == (["name", "size"], ["odd"]) and choose_columns("odd") == (DEFAULT, ["odd"])

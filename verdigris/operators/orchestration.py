@@ -81,11 +81,12 @@ def pivot_status(updates: DataFrame, key: str, channel: str, channels: list[str]
 
 
 def pipeline_outputs(docs: DataFrame) -> DataFrame:
-    """Extract (words), transform (keywords: a fiftieth of the words, three at least), index (first three)."""
+    """Extract (words), transform (keywords: a fiftieth of the words, three at least; a sentiment from -1 to 1 by the
+    document's number, where a service would score it), index (first three)."""
     words = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim("text"), r"[ \n\t\r]+")))
     n = F.greatest(F.lit(3), F.floor(F.col("n_words") / 50)).cast("int")
     keys = F.transform(F.sequence(F.lit(1), F.least(F.col("n_keywords"), F.lit(3))), lambda i: F.concat(F.lit("kw-"), i))
-    return docs.select("doc_id", words.cast("long").alias("n_words")).withColumn("n_keywords", n).withColumn("preview", F.array_join(keys, ", "))
+    return docs.select("doc_id", words.cast("long").alias("n_words")).withColumn("n_keywords", n).withColumn("sentiment", F.round(F.pmod(F.col("doc_id") * 7919, F.lit(2001)) / 1000.0 - 1, 3)).withColumn("preview", F.array_join(keys, ", "))
 
 
 def step_status(extract: Column, transform: Column, index: Column) -> Column:

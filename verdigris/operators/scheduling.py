@@ -176,11 +176,12 @@ class PoolOptions:
     timeout_s: float = -1
     max_attempts: int = 1
     retry_delay_s: float = 0
-    aging_threshold_s: float = 0
+    aging_threshold_s: float | None = None
     aging_scan_s: float = 1
     idle_eviction_s: float = 300
     drain_timeout_s: float = 30
     full_mode: str = "wait"
+    partition_capacity: int | None = None
     problems: tuple[str, ...] = field(default=(), init=False)
 
     def __post_init__(self) -> None:
@@ -189,16 +190,20 @@ class PoolOptions:
             for wrong, m in (
                 (self.max_concurrency < 1, "max_concurrency must be positive"),
                 (self.capacity < 1, "capacity must be positive"),
-                (len(self.weights) != 3 or any(w < 1 for w in self.weights), "three positive weights are needed"),
-                (len(self.tier_limits) != 3 or any(x is not None and x < 0 for x in self.tier_limits), "tier limits must not be negative"),
-                (self.timeout_s < 0 and self.timeout_s != -1, "timeout_s must be -1 or not negative"),
+                (self.weights is None, "weights must be given"),
+                (self.weights is not None and len(self.weights) != 3, "three weights are needed, for low, normal and high"),
+                (any(w < 1 for w in self.weights or ()), "weights must be positive"),
+                (self.full_mode not in ("wait", "drop_oldest", "drop_newest", "drop_write"), "full_mode is unknown"),
+                (self.drain_timeout_s < 0 and self.drain_timeout_s != -1, "drain_timeout_s must be -1 or not negative"),
+                (self.timeout_s <= 0 and self.timeout_s != -1, "timeout_s must be -1 or positive"),
+                (self.partition_capacity is not None and self.partition_capacity < 1, "partition_capacity must be positive"),
+                (self.idle_eviction_s < 0, "idle_eviction_s must not be negative"),
                 (self.max_attempts < 1, "max_attempts must be positive"),
                 (self.retry_delay_s < 0, "retry_delay_s must not be negative"),
-                (self.aging_threshold_s < 0, "aging_threshold_s must not be negative"),
+                (self.aging_threshold_s is not None and self.aging_threshold_s <= 0, "aging_threshold_s must be positive"),
                 (self.aging_scan_s <= 0, "aging_scan_s must be positive"),
-                (self.idle_eviction_s < 0, "idle_eviction_s must not be negative"),
-                (self.drain_timeout_s < 0, "drain_timeout_s must not be negative"),
-                (self.full_mode not in ("wait", "drop_oldest", "drop_newest", "drop_write"), "full_mode is unknown"),
+                (len(self.tier_limits) != 3, "three tier limits are needed"),
+                (any(x is not None and x < 0 for x in self.tier_limits), "tier limits must not be negative"),
             )
             if wrong
         ]

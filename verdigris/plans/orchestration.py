@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import orchestration as O
+from verdigris.operators import pool_runs as P
 from verdigris.session import load
 
 
@@ -78,6 +79,12 @@ def pipeline_status(spark, d):
     return u.select("job_id", O.step_status(F.col("email"), F.col("sms"), F.col("push")).alias("pipeline"))
 
 
+def handler_phases(spark, d):
+    names = sorted(P.PHASES)
+    jobs = load(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int")).alias("handler"))
+    return P.phase_steps(jobs)
+
+
 def progress_percent(spark, d):
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 3 + 2).cast("int").alias("a"), (F.col("o_custkey") % 4 + 1).cast("int").alias("b"))
     total = F.col("a") + F.col("b")
@@ -121,10 +128,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         batch_fanout, batch_summary, batch_worker_counts, batch_cancel, worker_cancel, status_latest, status_lookup, status_pivot, resubmission_guards, result_status, pipeline_outputs, pipeline_status,
-        progress_percent, cluster_stats, fault_injection, scheduled_lag, bootstrap_mix, job_preview, job_filters,
+        handler_phases, progress_percent, cluster_stats, fault_injection, scheduled_lag, bootstrap_mix, job_preview, job_filters,
     )
 }
 
+def _phases_sql():
+    rows = ", ".join(f"({i}, '{h}', {k}, '{name}', {n})" for i, h in enumerate(sorted(P.PHASES)) for k, (name, n) in enumerate(P.PHASES[h]))
+    return f"""WITH p(h, handler, k, phase, n) AS (VALUES {rows}), s AS (SELECT h, handler, k, phase, n, unnest(range(1, n + 1)) AS i FROM p),
+q AS (SELECT *, CAST(row_number() OVER (PARTITION BY h ORDER BY k, i) AS INT) AS step, CAST(count(*) OVER (PARTITION BY h) AS INT) AS total_steps FROM s)
+SELECT o_orderkey AS job_id, handler, phase, step, total_steps, CAST(step * 100 // total_steps AS INT) AS percent, CASE WHEN n > 1 THEN phase || ' (' || i || '/' || n || ')' ELSE phase END AS message FROM orders JOIN q ON o_orderkey % {len(P.PHASES)} = h"""
+
+
 _I = """WITH i AS (SELECT l_orderkey AS batch, l_linenumber AS item, CASE WHEN l_returnflag = 'R' THEN 'Failed' WHEN l_linestatus = 'F' THEN 'Completed' WHEN l_returnflag = 'A' THEN 'Cancelled' WHEN l_quantity < 25 THEN 'Pending' ELSE 'Processing' END AS status,
   l_orderkey % 97 = 0 AS batch_cancelled, l_linenumber % 4 AS worker FROM lineitem)"""
 _U = """WITH u AS (SELECT user_id AS job_id, ts, event_id AS seq, value, CASE event_type WHEN 'error' THEN 'Failed' WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'Pending' ELSE 'Processing' END AS status, (['email', 'sms', 'push'])[event_id % 3 + 1] AS channel FROM events),
@@ -144,10 +158,11 @@ SELECT *, CASE WHEN batch_cancelled THEN 'Cancelled' WHEN completed + failed + c
     "resubmission_guards": _U + """ SELECT job_id, status, (['job', 'report', 'notification'])[job_id % 3 + 1] AS kind,
 NOT CASE job_id % 3 WHEN 0 THEN status = 'Processing' WHEN 1 THEN status IN ('Processing', 'Completed') ELSE status IN ('Pending', 'Processing', 'Completed') END AS accepted FROM l""",
     "result_status": "SELECT CASE WHEN event_type = 'signup' THEN 'Cancelled' WHEN event_type = 'error' AND props IS NOT NULL THEN 'Failed' ELSE 'Completed' END AS status, count(*) AS n FROM events GROUP BY 1",
-    "pipeline_outputs": r"""WITH w AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(string_split_regex(trim(text), '[ \n\t\r]+')) END AS n_words FROM documents), k AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(greatest(3, n_words // 50) AS INT) AS n_keywords FROM w)
+    "pipeline_outputs": r"""WITH w AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(string_split_regex(trim(text), '[ \n\t\r]+')) END AS n_words FROM documents), k AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(greatest(3, n_words // 50) AS INT) AS n_keywords, round((doc_id * 7919) % 2001 / 1000.0 - 1, 3) AS sentiment FROM w)
 SELECT *, array_to_string(list_transform(range(1, least(n_keywords, 3) + 1), lambda i: 'kw-' || i), ', ') AS preview FROM k""",
     "pipeline_status": _U + """ SELECT job_id, CASE WHEN email = 'Failed' THEN 'Failed at extract' WHEN email IN ('Pending', 'Processing') THEN 'Running extract' WHEN sms = 'Failed' THEN 'Failed at transform' WHEN sms IN ('Pending', 'Processing') THEN 'Running transform'
   WHEN push = 'Failed' THEN 'Failed at index' WHEN push IN ('Pending', 'Processing') THEN 'Running index' ELSE 'Completed' END AS pipeline FROM p""",
+    "handler_phases": _phases_sql(),
     "progress_percent": """WITH o AS (SELECT o_orderkey AS job_id, o_orderkey % 3 + 2 AS a, o_custkey % 4 + 1 AS b FROM orders), p AS (SELECT job_id, 'Load' AS name, a AS steps, 0 AS before, a + b AS total FROM o UNION ALL SELECT job_id, 'Store', b, a, a + b FROM o), r AS (SELECT *, unnest(range(1, steps + 1)) AS i FROM p)
 SELECT job_id, name || ' (' || i || '/' || steps || ')' AS label, (before + i) * 100 // total AS percent, CAST(round_even((before + i) * 100.0 / total, 0) AS BIGINT) AS percent_rounded FROM r""",
     "cluster_stats": "SELECT count(*) AS enqueued, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS completed, count(DISTINCT user_id % 7) AS n_nodes FROM events",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.operators import pool_runs as P
 from verdigris.operators import scheduling as S
 from verdigris.session import load
 
@@ -103,11 +104,51 @@ def sched_quantum_order(spark, d):
     return S.quantum_schedule(r, "run", {0: 2, 1: 1, 2: 1})
 
 
+def sched_wait_for_room(spark, d):
+    return P.wait_for_room(_reqs(spark, d), 200)
+
+
+def sched_retry_queue(spark, d):
+    return P.retry_queue(_tries(_reqs(spark, d)), 30.0)
+
+
+def sched_cancel_lanes(spark, d):
+    r = P.cancel_lanes(_reqs(spark, d), [0, 2]).groupBy("priority").agg(F.count_if("cancelled").alias("cancelled"), F.count_if(~F.col("cancelled")).alias("left_over"))
+    return r
+
+
+def sched_ledger(spark, d):
+    r = _reqs(spark, d)
+    kept = S.full_queue(r, 300, "drop_write").select("request_id", "kept")
+    return P.ledger(r.join(kept, "request_id"), F.col("kept"), F.col("event_type") == "signup", F.col("event_type") == "error", _bound(r, "middle"), 3600.0)
+
+
+def sched_worker_pool(spark, d):
+    r = _reqs(spark, d).withColumn("day", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")).withColumn("seconds", F.col("seconds") * 60)
+    return P.worker_pool(r, "day", 3, {2: 1})
+
+
+def sched_callbacks(spark, d):
+    def callback(row: dict) -> None:
+        if row["event_type"] == "error":
+            raise ValueError("bad callback")
+
+    called = P.notify(_reqs(spark, d).select("request_id", "event_type"), callback)
+    return called.groupBy("callback_error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sched_meters(spark, d):
+    r = _reqs(spark, d)
+    gone = r.filter("event_type = 'signup'")
+    return P.meters(r, _tries(r), S.full_queue(r, 200, "drop_oldest"), S.aged_priority(r, _bound(r, "end")), S.idle_evictions(r, "6 hours"), gone, sched_snapshot(spark, d), sched_concurrency(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sched_wrr_order, sched_wrr_orders_priority, sched_fair_order, sched_aging, sched_idle_partitions, sched_snapshot, sched_health, sched_retry_deadletter, sched_conservation, sched_concurrency,
         sched_validate_ids, sched_cancel, sched_timeouts, sched_duration_stats, sched_mediator_routes, sched_quantum_order,
+        sched_wait_for_room, sched_retry_queue, sched_cancel_lanes, sched_ledger, sched_worker_pool, sched_callbacks, sched_meters,
     )
 }
 for _p in ("drop_oldest", "drop_newest", "drop_write"):
@@ -148,4 +189,31 @@ SELECT event_type, error, count(output) AS n_handled, count(*) AS n, min(output)
     "sched_drop_oldest": R + _FULL.format("n - a < 200"),
     "sched_drop_newest": R + _FULL.format("a < 200 OR a = n"),
     "sched_drop_write": R + _FULL.format("a <= 200"),
+    "sched_wait_for_room": R + """, k AS (SELECT request_id, priority, row_number() OVER (PARTITION BY priority ORDER BY ts, request_id) - 1 AS arrival FROM r)
+SELECT request_id, priority, arrival, arrival >= 200 AS waited, greatest(0, arrival - 199) AS admitted_after FROM k""",
+    "sched_retry_queue": R + """, l AS (SELECT *, request_id % 5 AS f, CASE WHEN event_type <> 'error' THEN 3 ELSE 1 END AS most FROM r), a AS (SELECT request_id, priority, CAST(ts AS TIMESTAMP) AS ts, unnest(range(1, least(most, f + 1) + 1)) AS attempt FROM l),
+t AS (SELECT request_id, priority, attempt, ts + (attempt - 1) * INTERVAL 30 SECOND AS ready FROM a) SELECT request_id, priority, attempt, ready, row_number() OVER (PARTITION BY priority ORDER BY ready, attempt, request_id) - 1 AS lane_pos FROM t""",
+    "sched_cancel_lanes": R + " SELECT priority, count(*) FILTER (priority IN (0, 2)) AS cancelled, count(*) FILTER (priority = 1) AS left_over FROM r GROUP BY 1",
+    "sched_ledger": R + """, t AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS t0 FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY ts, request_id) <= 300 AS kept, epoch_us(ts) + 3600000000 AS s FROM r),
+x AS (SELECT CASE WHEN NOT kept THEN 'd' WHEN event_type = 'signup' THEN 'c' WHEN s > t0 THEN 'q' WHEN s + CAST(round(seconds * 1000000) AS BIGINT) > t0 THEN 'i' WHEN event_type = 'error' THEN 'f' ELSE 'o' END AS st FROM k, t WHERE epoch_us(ts) <= t0)
+SELECT count(*) AS enqueued, count(*) FILTER (st = 'o') AS completed, count(*) FILTER (st = 'f') AS failed, count(*) FILTER (st = 'c') AS cancelled, count(*) FILTER (st = 'd') AS dropped, count(*) FILTER (st = 'i') AS in_flight, count(*) FILTER (st = 'q') AS queued, true AS holds FROM x""",
+    "sched_callbacks": "SELECT CASE WHEN event_type = 'error' THEN 'ValueError: bad callback' END AS callback_error, count(*) AS n FROM events GROUP BY 1",
+    "sched_meters": R + """, l AS (SELECT *, request_id % 5 AS f, CASE WHEN event_type <> 'error' THEN 3 ELSE 1 END AS most FROM r), a AS (SELECT priority, f, most, unnest(range(1, least(most, f + 1) + 1)) AS attempt FROM l),
+z AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS t0, max(epoch_us(ts)) AS t1 FROM r),
+e AS (SELECT priority, epoch_us(ts) AS t, 1 AS step FROM r UNION ALL SELECT priority, epoch_us(ts) + CAST(round(seconds * 100 * 1000000) AS BIGINT), -1 FROM r),
+pk AS (SELECT priority, max(running) AS peak FROM (SELECT priority, sum(step) OVER (PARTITION BY priority ORDER BY t, step ROWS UNBOUNDED PRECEDING) AS running FROM e) GROUP BY 1),
+g AS (SELECT partition_key, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY partition_key ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS opens FROM r)
+SELECT 'enqueued' AS name, priority::VARCHAR AS tag, count(*)::DOUBLE AS value FROM r GROUP BY 2
+UNION ALL SELECT 'completed', CASE WHEN attempt <= f THEN 'failed' ELSE 'succeeded' END, count(*)::DOUBLE FROM a WHERE attempt > f OR attempt = most GROUP BY 2
+UNION ALL SELECT 'duration_count', NULL, count(*)::DOUBLE FROM r
+UNION ALL SELECT 'duration_sum', NULL, round(sum(seconds), 3)::DOUBLE FROM r
+UNION ALL SELECT 'active_workers_peak', NULL, sum(peak)::DOUBLE FROM pk
+UNION ALL SELECT 'cancelled', priority::VARCHAR, count(*)::DOUBLE FROM r WHERE event_type = 'signup' GROUP BY 2
+UNION ALL SELECT 'retry', priority::VARCHAR, count(*)::DOUBLE FROM a WHERE attempt <= f AND attempt < most GROUP BY 2
+UNION ALL SELECT 'dead_letter', priority::VARCHAR, count(*)::DOUBLE FROM a WHERE attempt <= f AND attempt = most GROUP BY 2
+UNION ALL SELECT 'dropped', priority::VARCHAR, count(*)::DOUBLE FROM (SELECT priority, row_number() OVER (PARTITION BY priority ORDER BY ts DESC, request_id DESC) AS back FROM r) WHERE back > 200 GROUP BY 2
+UNION ALL SELECT 'priority_promoted', priority::VARCHAR, (count(*) FILTER (least(2, priority + greatest(0, CAST(floor((t1 - epoch_us(ts) - 3600000000) / 600000000.0) AS BIGINT) + 1)) > priority))::DOUBLE FROM r, z GROUP BY 2
+UNION ALL SELECT 'partition_evicted', NULL, (sum(opens) - count(DISTINCT partition_key))::DOUBLE FROM g
+UNION ALL SELECT 'partitions_active', priority::VARCHAR, count(DISTINCT partition_key)::DOUBLE FROM r GROUP BY 2
+UNION ALL SELECT 'queue_depth', NULL, (count(*) FILTER (epoch_us(ts) <= t0 AND epoch_us(ts) + CAST(round(seconds * 1000 * 1000000) AS BIGINT) > t0))::DOUBLE FROM r, z""",
 }

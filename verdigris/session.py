@@ -21,6 +21,7 @@ def build_session(app: str = "verdigris", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
@@ -49,9 +50,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the session (spark.checkpoint.dir). Where none is set, one machine alone may use a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -17,6 +17,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 from email.utils import format_datetime, parsedate_to_datetime
 from xml.etree import ElementTree
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.markdown import html_to_markdown, table
 from verdigris.functions.text import EXTENSION_MIME
 from verdigris.session import ship
+from verdigris.sources import web_pages
 from verdigris.sources.chm import Chm
 
 Result = tuple[str, str | None]
@@ -118,6 +120,18 @@ def html(raw: bytes, info: Info) -> Result:
     return html_to_markdown(decode(raw, info.charset))
 
 
+def wikipedia(raw: bytes, info: Info) -> Result:
+    return web_pages.article(decode(raw, info.charset))
+
+
+def video(raw: bytes, info: Info) -> Result:
+    return web_pages.video(decode(raw, info.charset), info.url)
+
+
+def search(raw: bytes, info: Info) -> Result:
+    return web_pages.search_results(decode(raw, info.charset), info.url or "")
+
+
 def csv_table(raw: bytes, info: Info) -> Result:
     return table([r for r in csv.reader(io.StringIO(decode(raw, info.charset), newline="")) if r]), None
 
@@ -572,6 +586,9 @@ def _is_feed(raw: bytes, i: Info) -> bool:
 
 
 for _name, _test, _fn, _priority in (
+    ("wikipedia", lambda raw, i: web_pages.is_article(i.url), wikipedia, 0.0),
+    ("video", lambda raw, i: web_pages.is_video(i.url), video, 0.0),
+    ("search", lambda raw, i: web_pages.is_search(i.url) and (_kind("html", "htm", mime="text/html")(raw, i) or (i.mime_type or "").startswith("application/xhtml")), search, 0.0),
     ("docx", _kind("docx"), docx, 0.0),
     ("xlsx", _kind("xlsx"), xlsx, 0.0),
     ("pptx", _kind("pptx"), pptx, 0.0),
@@ -606,16 +623,24 @@ def convert(raw: bytes, info: Info) -> tuple[str | None, str | None, str | None]
     return None, None, "unsupported format"
 
 
-def convert_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``path, markdown, title, error`` of a ``binaryFile`` table; no shuffle."""
+def convert_files(files: DataFrame, path: str = "path", content: str = "content", url: str | None = None, mime: str | None = None) -> DataFrame:
+    """``path, markdown, title, error`` of a ``binaryFile`` table, or of pages with columns ``url`` and ``mime``; no shuffle."""
     ship(files.sparkSession)
 
+    def one(p: str | None, c: bytes | None, u: str | None, m: str | None) -> tuple[str | None, str | None, str | None]:
+        if c is None:
+            return None, None, "no content"
+        name = posixpath.basename(p) if p and url is None else None
+        return convert(bytes(c), Info(file_name=name, url=u if isinstance(u, str) else None, mime_type=m if isinstance(m, str) else None))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [convert(bytes(c), Info(file_name=posixpath.basename(p))) if c is not None else (None, None, "no content") for p, c in zip(b["path"], b["content"])]
+            rows = [one(*r) for r in zip(b["path"], b["content"], b["url"], b["mime"])]
             yield pd.DataFrame({"path": b["path"], "markdown": [r[0] for r in rows], "title": [r[1] for r in rows], "error": [r[2] for r in rows]})
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(work, "path string, markdown string, title string, error string")
+    extra = [(F.lit(None).cast("string") if c is None else F.col(c)).alias(n) for c, n in ((url, "url"), (mime, "mime"))]
+    source = files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content"), *extra)
+    return source.mapInPandas(work, "path string, markdown string, title string, error string")
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
@@ -624,6 +649,34 @@ def read_files(spark: SparkSession, folder: str, pattern: str | None = None, rec
     return (r.option("pathGlobFilter", pattern) if pattern else r).load(folder)
 
 
+def pdf_date(text: str | None) -> datetime | None:
+    """``D:YYYYMMDDHHmmSS+HH'mm'`` with parts left out from the right, in UTC."""
+    m = re.match(r"(?:D:)?(\d{4})(\d\d)(\d\d)(?:(\d\d)(?:(\d\d)(?:(\d\d)(?:([+-])(\d\d)(?:'(\d\d))?)?)?)?)?", (text or "").strip())
+    if not m:
+        return None
+    try:
+        local = datetime(*(int(x or 0) for x in m.groups()[:6]))
+    except ValueError:
+        return None
+    shift = timedelta(hours=int(m[8] or 0), minutes=int(m[9] or 0))
+    return local + shift if m[7] == "-" else local - shift
+
+
+def loose_date(text: str | None) -> datetime | None:
+    """A date as books write it, in UTC: a year, a year and month, or an ISO date with or without a time and zone."""
+    text = (text or "").strip()
+    if m := re.fullmatch(r"(\d{4})(?:-(\d\d))?", text):
+        text = f"{m[1]}-{m[2] or '01'}-01"
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError:
+        try:
+            at = parsedate_to_datetime(text)
+        except (TypeError, ValueError):
+            return None
+    return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+
 def book_metadata(raw: bytes, name: str) -> dict:
     """Catalog fields of one book; what can't be read is left out."""
     ext = posixpath.splitext(name)[1].lower().lstrip(".")
@@ -632,16 +685,20 @@ def book_metadata(raw: bytes, name: str) -> dict:
     if ext == "pdf":
         pages, info = pdf_pages(raw)
         out |= {"format": "PDF", "title": info.get("Title"), "authors": split(info.get("Author", "")), "publisher": info.get("Creator"), "description": info.get("Subject"), "tags": split(info.get("Keywords", "")), "page_count": len(pages) or None}
+        out |= {"published_date": pdf_date(info.get("CreationDate")), "modified_date": pdf_date(info.get("ModDate"))}
     elif ext == "epub":
         with _zip(raw) as z:
             root = _xml(z, next(_all(_xml(z, "META-INF/container.xml"), "rootfile")).get("full-path"))
             values = lambda n: [x.text.strip() for x in _all(root, n) if x.text and x.text.strip()]
             isbn = next((x.text.strip() for x in _all(root, "identifier") if x.text and "isbn" in (_attr(x, "scheme") or x.text).lower()), None)
             out |= {"format": "EPUB", "title": next(iter(values("title")), None), "authors": values("creator"), "publisher": next(iter(values("publisher")), None), "description": next(iter(values("description")), None), "language": next(iter(values("language")), None), "isbn": isbn, "tags": values("subject")}
+            dates = [(x.text, (_attr(x, "event") or "").lower() or None) for x in _all(root, "date")]
+            chosen = [d for d, e in dates if e is None or "publication" in e or "issued" in e] or [d for d, _ in dates]
+            out["published_date"] = loose_date(chosen[0]) if chosen else None
     elif ext in ("mobi", "azw", "azw3", "prc"):
         m, _ = mobi_parts(raw)
         first = lambda c: next((v for v in m.get(c, []) if v), None)
-        out |= {"format": "MOBI", "title": first(503) or m.get("full") or m["name"] or None, "authors": m.get(100, []), "publisher": first(101), "description": first(103), "isbn": first(104), "tags": m.get(105, []), "language": first(524)}
+        out |= {"format": "MOBI", "title": first(503) or m.get("full") or m["name"] or None, "authors": m.get(100, []), "publisher": first(101), "description": first(103), "isbn": first(104), "tags": m.get(105, []), "language": first(524), "published_date": next((d for d in map(loose_date, m.get(106, [])) if d), None)}
     elif ext == "chm":
         archive = Chm(raw)
         m = archive.metadata()
@@ -655,6 +712,7 @@ def book_metadata(raw: bytes, name: str) -> dict:
         words = [p.strip() for p in re.split("[,;|]", meta.get("keywords") or "") if p.strip()]
         tags = list({t.lower(): t for t in reversed([*archive.tags(), *words])}.values())[::-1]
         out |= {"format": "CHM", "title": m.get("title") or html_to_markdown(text)[1], "authors": people, "publisher": meta.get("publisher"), "description": meta.get("description"), "language": m.get("language"), "isbn": found, "tags": tags}
+        out["published_date"] = next((d for k in ("dc.date", "date", "pubdate", "article:published_time") if (d := loose_date(meta.get(k)))), None)
     return {k: v for k, v in out.items() if v not in (None, [], "")}
 
 
@@ -665,7 +723,7 @@ def valid_isbn(s: str) -> bool:
     return bool(re.fullmatch("[0-9]{13}", s)) and sum((3 if i % 2 else 1) * int(c) for i, c in enumerate(s)) % 10 == 0
 
 
-BOOK = "path string, file_name string, format string, file_size_bytes long, title string, authors array<string>, publisher string, description string, language string, isbn string, page_count int, tags array<string>, error string"
+BOOK = "path string, file_name string, format string, file_size_bytes long, title string, authors array<string>, publisher string, description string, language string, isbn string, published_date timestamp, modified_date timestamp, page_count int, tags array<string>, error string"
 
 
 def scan_books(files: DataFrame) -> DataFrame:
@@ -681,7 +739,7 @@ def scan_books(files: DataFrame) -> DataFrame:
                     rows.append({"path": p, **book_metadata(bytes(c), posixpath.basename(p))})
                 except Exception as e:  # the scan goes on
                     rows.append({"path": p, "file_name": posixpath.basename(p), "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n == "page_count" else object) for n in names})
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n == "page_count" else "datetime64[us]" if n.endswith("_date") else object) for n in names})
 
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("pdf", "epub", "mobi", "azw", "azw3", "prc", "chm")
     return files.select("path", "content").filter(wanted).mapInPandas(work, BOOK)
