@@ -283,3 +283,59 @@ def test_choose_columns():
     from verdigris.operators.catalog import DEFAULT, choose_columns
 
     assert choose_columns(None) == (DEFAULT, []) and choose_columns("Name, size,odd") == (["name", "size"], ["odd"]) and choose_columns("odd") == (DEFAULT, ["odd"])
+
+
+def pdf_file(objects, trailer, streams=()):
+    """A file of objects by number; ``streams``: (number, dictionary, content)."""
+    out = b"%PDF-1.7\n"
+    for n, body in objects.items():
+        out += b"%d 0 obj %s endobj\n" % (n, body)
+    for n, about, body in streams:
+        out += b"%d 0 obj <<%s /Length %d>> stream\n%s\nendstream endobj\n" % (n, about, len(body), body)
+    return out + (b"trailer << %s >>" % trailer if trailer else b"")
+
+
+def test_pdf_tables_and_lines():
+    """Word boxes give tables and lines; pages follow the tree, resources are inherited."""
+    table_page = b"BT /F 10 Tf 1 0 0 1 50 700 Tm (Name) Tj 1 0 0 1 150 700 Tm (Score) Tj 1 0 0 1 50 680 Tm (Ann B) Tj 1 0 0 1 150 680 Tm (5) Tj ET"
+    lines = b"BT /F 10 Tf 14 TL 50 700 Td [(Hel) -20 (lo) -600 (there)] TJ T* (second) Tj 0 -40 Td <74686972 64> Tj (\\(x\\051) ' ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [5 0 R 4 0 R] /Resources << /Font << /F 3 0 R >> >> >>", 3: b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>",
+        4: b"<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>", 5: b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>", 8: b"<< /Title <FEFF00C4> /Author (Ann) >>",
+    }
+    import zlib
+
+    raw = pdf_file(objects, b"/Root 1 0 R /Info 8 0 R", [(6, b"", lines), (7, b"/Filter /FlateDecode", zlib.compress(table_page))])
+    text, title, error = C.convert(raw, C.Info(file_name="a.pdf"))
+    assert error is None and title == "Ä"
+    assert text == "## Page 1\n\nHello there\nsecond\n\nthird\n(x)\n\n## Page 2\n\n| Name | Score |\n| --- | --- |\n| Ann B | 5 |"
+
+
+def test_pdf_object_streams_and_character_maps():
+    """Objects in a compressed stream, a cross-reference stream for a trailer, two-byte codes read by their map, a form."""
+    import zlib
+
+    inner = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [4 0 R] >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R /DescendantFonts [5 0 R] >>",
+             4: b"<< /Type /Page /Contents 7 0 R /Resources << /Font << /F 3 0 R >> /XObject << /X 8 0 R >> >> >>", 5: b"<< /DW 600 /W [1 [500 500] 3 9 700] >>"}
+    heads, body = b"", b""
+    for n, x in inner.items():
+        heads += b"%d %d " % (n, len(body))
+        body += x + b" "
+    packed = zlib.compress(heads + body)
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <00660069> endbfchar 2 beginbfrange <0003> <0005> <0061> <0006> <0007> [<4E2D> <6587>] endbfrange"
+    streams = [
+        (6, b"/Type /ObjStm /N 5 /First %d /Filter /FlateDecode" % len(heads), packed), (7, b"", b"q 2 0 0 2 0 0 cm BT /F 12 Tf 10 300 Td <0001000200030005> Tj ET Q /X Do"),
+        (8, b"/Subtype /Form", b"BT /F 12 Tf 10 300 Td <00060007> Tj ET"), (9, b"", cmap), (10, b"/Type /XRef /Root 1 0 R", b""),
+    ]
+    text, _, error = C.convert(pdf_file({}, b"", streams), C.Info(file_name="a.pdf"))
+    assert error is None and text == "## Page 1\n\nHfiac\n\n中文"
+
+
+def test_pdf_edges():
+    assert C.convert(pdf_file({1: b"<< /Type /Page >>"}, b"/X 1"), C.Info(file_name="a.pdf"))[0] == "## Page 1"
+    assert "encrypted" in C.convert(pdf_file({1: b"<< >>"}, b"/Encrypt 1 0 R"), C.Info(file_name="a.pdf"))[2]
+    assert C.convert(b"%PDF-1.4 (cut", C.Info(file_name="a.pdf")) == ("", None, None)
+    from verdigris.sources.pdf import _predicted
+
+    rows = bytes([0, 1, 2, 3]) + bytes([1, 5, 1, 1]) + bytes([2, 1, 1, 1]) + bytes([4, 1, 0, 0])
+    assert list(_predicted(rows, {"Predictor": 12, "Columns": 3})) == [1, 2, 3, 5, 6, 7, 6, 7, 8, 7, 7, 8]

@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.markdown import html_to_markdown, table
 from verdigris.functions.text import EXTENSION_MIME
+from verdigris.operators.layout import page_markdown
 from verdigris.session import ship
 from verdigris.sources import web_pages
 from verdigris.sources.chm import Chm
+from verdigris.sources.pdf import Pdf
 
 Result = tuple[str, str | None]
 
@@ -415,48 +417,21 @@ def chm(raw: bytes, info: Info) -> Result:
     return "\n\n".join(out), archive.metadata().get("title")
 
 
-def pdf_pages(raw: bytes) -> tuple[list[list[str]], dict[str, str]]:
-    """Text lines by page, from the show operators of content streams, and the document information."""
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) 0 obj(.*?)endobj", raw, re.S)}
-
-    def stream(body: bytes) -> bytes:
-        if not (m := re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)):
-            return b""
-        return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body else m[1]
-
-    def string(x: bytes) -> str:
-        x = re.sub(rb"\\([nrtbf()\\]|[0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), x)
-        return x.decode("utf-16") if x.startswith(b"\xfe\xff") else x.decode("latin-1")
-
-    pages = []
-    for body in (b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)):
-        lines: list[str] = []
-        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ 0 R)", body)
-        data = b"\n".join(stream(objects.get(int(r), b"")) for r in re.findall(rb"(\d+) 0 R", refs[1])) if refs else b""
-        line = ""
-        for m in re.finditer(rb"\(((?:\\.|[^\\)])*)\)|(T\*|Td|TD|Tm|ET|'|\")", data, re.S):
-            if m[2] is None:
-                line += string(m[1])
-            elif line.strip():
-                lines.append(line.strip())
-                line = ""
-        if line.strip():
-            lines.append(line.strip())
-        pages.append(lines)
-    ref = re.search(rb"/Info\s+(\d+) 0 R", raw)
-    info = {m[1].decode(): string(m[2]) for m in re.finditer(rb"/(\w+)\s*\(((?:\\.|[^\\)])*)\)", objects.get(int(ref[1]), b"") if ref else b"", re.S)}
-    return pages, info
-
-
 def pdf(raw: bytes, info: Info) -> Result:
+    """Pages by their word boxes: tables, or lines; captions of photographs where a captioner is set."""
     if not raw.startswith(b"%PDF"):
         raise Unsupported("not a PDF")
-    pages, about = pdf_pages(raw)
+    file = Pdf(raw)
     out = []
-    for n, lines in enumerate(pages, 1):
-        text = re.sub(r"(?m)^(\.\d+)\n", r"\1", "\n".join(lines))
-        out.append(f"## Page {n}" + (f"\n\n{text}" if text else ""))
-    return "\n\n".join(out), about.get("Title")
+    for n, page in enumerate(file.pages, 1):
+        parts = [f"## Page {n}", page_markdown(file.words(page))]
+        for photo in file.jpegs(page) if captioner else []:
+            try:
+                parts.append((captioner(photo, "image/jpeg") or "").strip())
+            except Exception:  # captions are an extra
+                continue
+        out.append("\n\n".join(p for p in parts if p))
+    return "\n\n".join(out), file.info.get("Title")
 
 
 #: Called with an image's bytes and type, if set; its caption is added, and its failures are ignored.
@@ -683,7 +658,8 @@ def book_metadata(raw: bytes, name: str) -> dict:
     out: dict = {"file_name": name, "file_size_bytes": len(raw)}
     split = lambda x: [p.strip() for p in re.split("[,;]", x) if p.strip()]
     if ext == "pdf":
-        pages, info = pdf_pages(raw)
+        file = Pdf(raw)
+        pages, info = file.pages, file.info
         out |= {"format": "PDF", "title": info.get("Title"), "authors": split(info.get("Author", "")), "publisher": info.get("Creator"), "description": info.get("Subject"), "tags": split(info.get("Keywords", "")), "page_count": len(pages) or None}
         out |= {"published_date": pdf_date(info.get("CreationDate")), "modified_date": pdf_date(info.get("ModDate"))}
     elif ext == "epub":
