@@ -480,6 +480,22 @@ def test_order_minhash(spark, docs, empty, rows):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1
 
 
+def test_order_minhash_without_or_with_repeated_ids(spark):
+    """Rows without doc_id come first, rows that share one follow each other by text, also where a range ends between ids."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, 12)) for i in (None, None, 5, 5, 5, 6, 7, 7, 9)] + [(5, ""), (None, None), (7, None)]
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] is not None, r[1] or ""))
+    model, want = order_minhash.OrderMinHash(), []
+    for k, (i, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        other = order_minhash.edited(text, following)
+        want.append((str(i), len(text), hashlib.sha256(other.encode()).hexdigest(), order_minhash.likeness(model.fingerprint(text), model.fingerprint(following))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for per_range in (1, 2, 100):
+        got = order_minhash.edit_likeness(df, per_range=per_range).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.near_next) for r in got) == sorted(want), per_range
+
+
 def test_order_minhash_minima():
     """The selected tuple by sorting all elements, for short texts and ones of several steps."""
     m = order_minhash.OrderMinHash(k=4, hashes=6, tuple_size=3)
@@ -523,6 +539,8 @@ def test_url_trie(spark, duck):
     duck.register("few", pages.toPandas()[["page_id", "url"]])
     df = url_trie.url_verdicts(pages, url_trie.RULES)
     same(df, duck, url_trie.OP7_SQL.replace("FROM pages", "FROM few"))
+    nameless = url_trie.url_verdicts(spark.createDataFrame([(None, "http://a.net/x"), (None, None), (1, "http://example.org/es/")], "page_id long, url string"), url_trie.RULES)
+    assert sorted((str(r.page_id), r.host, str(r.rule)) for r in nameless.collect()) == [("1", "example.org", "example.org/es/"), ("None", "", "None"), ("None", "a.net", "None")]
     table = spark.createDataFrame([*url_trie.RULES, ("allow", "example.org/es/"), (None, None)], "verdict string, rule string")
     for most in (10, 0):  # by trie, by join
         assert sorted(map(str, url_trie.url_verdicts(pages, table, most_rules=most).collect())) == sorted(map(str, df.collect()))
@@ -677,6 +695,54 @@ def test_license_scan_of_common_notices(spark):
         assert all(r.labels == (["apache", "apache-2.0"] if r.doc_id < n else []) and (r.doc_id >= n or r.score > 0.99) for r in got)
 
 
+def brute_labels(text, templates, idf, slack=1, least=0.6):
+    """Labels and score of the method, at every beginning of every template."""
+    w = brute.words(text, brute.ALNUM)
+    there = dict(enumerate(w))
+    labels, best = set(), 0.0
+    for label, body, keys in templates:
+        body = body.split()
+        total = math.fsum(idf[x] for x in body)
+        places = []
+        for key in keys:
+            k = key.split()
+            places.append((next(i for i in range(len(body)) if body[i : i + len(k)] == k), k))
+        for begin in range(-len(body), len(w)):
+            if all(any(all(there.get(begin + at + d + i) == x for i, x in enumerate(k)) for d in range(-slack, slack + 1)) for at, k in places):
+                share = math.fsum(idf[x] for i, x in enumerate(body) if there.get(begin + i) == x) / total
+                if share >= least:
+                    labels.add(label)
+                    best = max(best, share)
+    return labels, min(1.0, best)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_license_labels_by_brute_force(spark, share):
+    """Whole, cut, changed and mixed notices, in corpora where none, some or all files have one."""
+    rng = random.Random(int(share * 10))
+    texts = []
+    for i in range(120):
+        t = words(rng, 20)
+        if rng.random() < share:
+            for _ in range(rng.choice((1, 1, 2, 4))):
+                body = rng.choice(licenses.TEMPLATES)[1].split()
+                for _ in range(rng.choice((0, 0, 1, 3))):
+                    kind, at = rng.randrange(3), rng.randrange(len(body))
+                    body = body[:at] + ([] if kind == 0 else ["other"] if kind == 1 else [body[at], "more"]) + body[at + 1 :]
+                t += " " + " ".join(body) + rng.choice(("", ". ", " " + words(rng, 3)))
+        texts.append(t)
+    names = {x for _, body, _ in licenses.TEMPLATES for x in body.split()} | {x for p in licenses.PHRASES for x in p.split()}
+    df = {x: sum(x in brute.words(t, brute.ALNUM) for t in texts) for x in names}
+    idf = {x: math.log1p((len(texts) + 1) / (n + 0.5)) for x, n in df.items()}
+    got = once(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = 0
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t, licenses.TEMPLATES, idf)
+        assert set(got[i].labels) - set(got[i].base_labels) == labels - set(got[i].base_labels) and abs(got[i].score - score) < 1e-9, t
+        found += bool(labels)
+    assert (found > 0) == (share > 0)
+
+
 # registered queries
 
 

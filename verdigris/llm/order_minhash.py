@@ -156,15 +156,18 @@ def _targets(firsts: np.ndarray):
     return of
 
 
-def edit_likeness(docs: DataFrame, model: OrderMinHash | None = None, per_range: int = 4000) -> DataFrame:
-    """Fingerprints of every text, its edited text, and their likeness and that to the next document."""
+def edit_likeness(docs: DataFrame, model: OrderMinHash | None = None, per_range: int = 4000, most_ranges: int = 100_000) -> DataFrame:
+    """Fingerprints of every text, its edited text, and their likeness and that to the next document.
+
+    Ranges have about ``per_range`` documents each, more where that would make over ``most_ranges``.
+    """
     spark = docs.sparkSession
     ship(spark)
     local_arrow_rows(spark, 500)
     model = model or OrderMinHash()
     docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "doc_id", "text")
     ids = docs.select("id")
-    ranges = max(1, min(ids.count() // per_range, 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(1, min(ids.count() // per_range, most_ranges))
     cuts = np.unique(np.array(ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else [], np.int64))
     # each range that has documents, and its first
     rows = ids.select("id", _range_of(cuts)("id").alias("r")).groupBy("r").agg(F.min("id").alias("first")).orderBy("r").collect()
