@@ -141,6 +141,12 @@ def test_pitman_yor_adds_up(monkeypatch, ranges):
         assert 0 < p < 1
     del sums[len(known)]  # after the unknown word only the end was asked for
     assert len(sums) == len(known) + 1 and all(abs(x - 1) < 1e-9 for x in sums.values())
+    # the same however rows are cut into blocks, and blocks sent together
+    whole = stage.chances()
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 2000)
+    for send in (1, 20_000):
+        monkeypatch.setattr(pitman_yor, "SEND_BYTES", send)
+        assert Stage([*train, *zip(held, probes)], monkeypatch, ranges, [*known, "never"]).chances() == whole
 
 
 def exact_tables(c, words_of, contexts_of, d, s, d0, s0, v):

@@ -63,7 +63,7 @@ FIXED, HELD_BYTES = 1 << 22, 32 << 20
 #: Customers of a dish up to which the numbers of tables have exact weights; columns held when drawing beyond.
 EXACT, WINDOW = 128, 129
 #: Postings that a task holds back, to send those of several blocks in one row.
-SEND_BYTES = 24 << 20
+SEND_BYTES = 32 << 20
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     held, size, rows = [], 0, 0
-    for run in T.runs(batches):
+    for run in T.runs(batches, size=min(T.RUN, BLOCK_BYTES)):
         own = run.column("text").nbytes
         if held and (size + own > BLOCK_BYTES or rows + run.num_rows > BLOCK_DOCS):
             yield Block(held)
@@ -145,12 +145,13 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
     """Rows (g, block, blob): range g's postings of a block; below zero a block's documents."""
     other = len(context[0])
 
-    def sent(held: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
-        """A row for each range with the blobs of all blocks held."""
+    def sent(held: dict[int, list[tuple[int, tuple]]]) -> Iterator[pa.RecordBatch]:
+        """A row for each range with the postings of all blocks held, each array of theirs after the other."""
         keys = sorted(held)
         for at in range(0, len(keys), 16):
             some = keys[at : at + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([held[g][0][0] for g in some], pa.int64()), pa.array([pickle.dumps(held[g], protocol=5) for g in some], pa.binary())], ["g", "block", "blob"])
+            blobs = [_pack(*held[g][0][1]) if g < 0 else _joined(held[g]) for g in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([held[g][0][0] for g in some], pa.int64()), pa.array(blobs, pa.binary())], ["g", "block", "blob"])
         held.clear()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
             e_range = of[e_key >> 32].astype(np.int64)
             edge = np.searchsorted(e_range, np.arange(ranges + 1))
             p_edge = np.append(e_at, len(p_key))
-            out = [(-1 - name, name, _pack(ids, sizes))]
+            out = [(-1 - name, name, (ids, sizes))]
             for g in range(ranges):
                 a, z = edge[g], edge[g + 1]
                 if a == z:
@@ -205,10 +206,13 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
                 ent, e_u = e_key[a:z] >> 32, e_key[a:z] & LOW
                 w, w_at = np.unique(ent, return_index=True)
                 q = slice(p_edge[a], p_edge[z])
-                out.append((g, name, _pack(distinct[w], _small(np.diff(np.append(w_at, z - a))), np.minimum(e_u, other).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), len(sizes), own[e_u[e_u >= other] - other])))
+                fields = (
+                    distinct[w], _small(np.diff(np.append(w_at, z - a))), np.minimum(e_u, other).astype(np.uint16), _small(e_n[a:z]), _small(train[a:z]), _small(p_doc[q]), _small(count[q]), np.array([len(sizes)]), own[e_u[e_u >= other] - other],
+                )
+                out.append((g, name, fields))
+                size += sum(x.nbytes for x in fields)
             for g, n, blob in out:
                 held.setdefault(g, []).append((n, blob))
-                size += len(blob)
             del out, p_key, p_doc, e_key, count, train
             if size > SEND_BYTES:
                 yield from sent(held)
@@ -218,6 +222,18 @@ def _postings(context: tuple[np.ndarray, np.ndarray], hot: np.ndarray, ranges: i
     return work
 
 
+def _joined(blocks: list[tuple[int, tuple]]) -> bytes:
+    """Postings of several blocks: names, lengths of their arrays, and the arrays."""
+    names, parts = zip(*blocks)
+    return _pack(np.array(names), np.array([[len(x) for x in p] for p in parts]), *(_small(np.concatenate(x)) if 0 < k < 8 else np.concatenate(x) for k, x in enumerate(zip(*parts))))
+
+
+def _parted(blob: bytes) -> list[tuple[int, tuple]]:
+    names, lengths, *arrays = _unpack(blob)
+    ends = np.cumsum(lengths, axis=0)
+    return [(n, tuple(x[e - k : e] for x, e, k in zip(arrays, end, size))) for n, end, size in zip(names.tolist(), ends.tolist(), lengths.tolist())]
+
+
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return _number(known, np.ones(len(known), np.int64), h, 0) > 0
 
@@ -378,12 +394,10 @@ class Range:
 def _merge(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
     """Merge a range's postings: one row with the range's dishes, its postings and its numbers of dishes."""
     g = key[0].as_py()
-    blobs = sorted(pair for b in table.column("blob") for pair in pickle.loads(b.as_py()))
     if g < 0:
-        return _row(g, blobs[0][1], b"", b"")
+        return _row(g, table.column("blob")[0].as_py(), b"", b"")
     other = settings["other"]
-    names, parts = [n for n, _ in blobs], [_unpack(b) for _, b in blobs]
-    del blobs
+    names, parts = zip(*sorted((pair for b in table.column("blob") for pair in _parted(b.as_py())), key=lambda pair: pair[0]))
     words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     rare = np.unique(np.concatenate([p[8] for p in parts]))  # contexts without a number
     entry, at = [], 0
@@ -402,10 +416,10 @@ def _merge(key: tuple, table: pa.Table, settings: dict) -> pa.Table:
     spread = _number(settings["hot"], np.arange(len(settings["hot"])), words, -1)
     postings = []
     at = 0
-    for name, (_, _, u, n, _, doc, count, n_docs, _) in zip(names, parts):
+    for name, (_, _, u, n, _, doc, count, (n_docs,), _) in zip(names, parts):
         own_entries = number[at : at + len(u)]
         at += len(u)
-        postings.append((name, _small(np.diff(own_entries, prepend=0)), n, doc, count, n_docs))
+        postings.append((name, _small(np.diff(own_entries, prepend=0)), _small(n), _small(doc), _small(count), int(n_docs)))
     data = _pack(_small(np.diff(w_of, prepend=0)), np.minimum(u_of, other).astype(np.uint16), _small(u_of[u_of >= other] - other), _small(c), _small(c_word), spread, rare)
     one = c > 0
     m = np.bincount(w_of[one], minlength=n_words).astype(np.int64)
