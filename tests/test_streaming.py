@@ -1,4 +1,5 @@
 import shutil
+import time
 
 from pyspark.sql import functions as F
 
@@ -18,3 +19,18 @@ def test_stream(spark, sf_dir, tmp_path):
     want = {r.k: (r.n, r.f, r.e) for r in batch.groupBy(F.col("user_id").cast("string").alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("f"), F.max_by("event_type", F.struct("ts", "event_id")).alias("e")).collect()}
     assert {k: (r.n, r.failed, r.last_event) for k, r in jobs.items()} == want
     assert pool.run_once(pool.sessions(s, "1 hour", "1 day"), "open_sessions").columns == ["partition_key", "start", "end", "n"]
+
+
+def test_idle_jobs_expire(spark, tmp_path):
+    """A job that the watermark has left behind is told as expired, starts anew with its next event, and others go on."""
+    for i, rows in enumerate(([(1, "2024-01-01 00:00:00", 1), (2, "2024-01-01 00:00:00", 2)], [(3, "2024-01-01 03:00:00", 2)], [(4, "2024-01-01 03:00:01", 2)], [(5, "2024-01-01 03:00:02", 1)])):
+        df = spark.createDataFrame([(e, t, u, "view", 1.0) for e, t, u in rows], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        part = next((tmp_path / f"b{i}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        shutil.copy(part, tmp_path / "in" / f"{i}.parquet")
+        time.sleep(0.05)
+    got = pool.run_once(pool.tracker(pool.request_stream(spark, str(tmp_path / "in")), 3600, "1 minute"), "idle_jobs", "update").collect()
+    own = [(r.n, r.expired) for r in got if r.partition_key == "1"]
+    assert own[:2] == [(1, False), (1, True)] and own[2] == (1, False)
+    assert max(r.n for r in got if r.partition_key == "2") == 3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import quantizer as Q
 from verdigris.operators import vectors as V
 from verdigris.session import load
+from verdigris.sources import index_file
 
 K = 10
 
@@ -95,6 +96,17 @@ def _recall(bits):
     return run
 
 
+def _filed(bits):
+    """Codes that went through index files."""
+
+    def run(spark, d):
+        files = index_file.index_files(V.encode(load(spark, d, "embeddings"), bits), bits, 128)
+        c = index_file.read_index_files(files)
+        return c.select("vec_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), F.round("scale", 5).alias("scale"), "bits")
+
+    return run
+
+
 def _distortion(bits):
     return lambda spark, d: V.distortion(load(spark, d, "embeddings"), bits)
 
@@ -109,6 +121,7 @@ for _b in (2, 3, 4):
     QUERIES[f"vec_topk_lut_{_b}bit"] = _quantized(_b, True)
     QUERIES[f"vec_recall_{_b}bit"] = _recall(_b)
     QUERIES[f"vec_distortion_{_b}bit"] = _distortion(_b)
+    QUERIES[f"vec_index_files_{_b}bit"] = _filed(_b)
 
 
 def _topk_sql(where="TRUE", k=K):
@@ -169,6 +182,7 @@ for _b in (2, 3, 4):
     _e = f"WITH {_encoded_sql(_b)}"
     ORACLE_SQL[f"vec_encode_{_b}bit"] = _e + " SELECT vec_id, codes, round(scale, 6) AS scale FROM e"
     ORACLE_SQL[f"vec_topk_quantized_{_b}bit"] = _e + f" SELECT query_id, rank, vec_id, score FROM a WHERE rank <= {K}"
+    ORACLE_SQL[f"vec_index_files_{_b}bit"] = _e + f" SELECT vec_id, codes, round(scale::FLOAT::DOUBLE, 5) AS scale, {_b} AS bits FROM e"
     ORACLE_SQL[f"vec_topk_lut_{_b}bit"] = _lut_sql(_b)
     ORACLE_SQL[f"vec_recall_{_b}bit"] = _e + f", x10 AS ({_topk_sql()}) SELECT query_id, count(a.vec_id) AS hits, round(count(a.vec_id) / {float(K)}, 6) AS recall FROM x10 LEFT JOIN (SELECT * FROM a WHERE rank <= {K}) a USING (query_id, vec_id) GROUP BY query_id"
     ORACLE_SQL[f"vec_distortion_{_b}bit"] = _e + " SELECT round(avg(se), 6) AS mse_x_dim, round(avg(scale * own / norm), 6) AS self_score, count(*) AS n FROM e"

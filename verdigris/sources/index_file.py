@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from verdigris.functions.quantizer import pack_planes, unpack_planes
+from verdigris.session import ship
 
 PLAIN, KEYED, VERSION = b"TVPI", b"TVIM", 2
 
@@ -41,3 +45,44 @@ def loads(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
     if ids is not None and len(np.unique(ids)) != n:
         raise ValueError("the index file repeats an id")
     return codes, scales, bits, ids
+
+
+def index_files(codes: DataFrame, bits: int, per_file: int = 100_000) -> DataFrame:
+    """``n, content``: encoded rows (vec_id, codes, scale) as keyed index files of up to ``per_file`` rows; no shuffle."""
+    ship(codes.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def file() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            flat = rows.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            raw = dumps(flat.reshape(rows.num_rows, -1), rows.column("scale").to_numpy(), bits, rows.column("vec_id").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64()), pa.array([raw], pa.binary())], ["n", "content"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, per_file):
+                part = b.slice(at, per_file)
+                if sum(x.num_rows for x in held) + part.num_rows > per_file and held:
+                    yield file()
+                    held.clear()
+                held.append(part)
+        if held:
+            yield file()
+
+    return codes.select("vec_id", "codes", "scale").mapInArrow(work, "n long, content binary")
+
+
+def read_index_files(files: DataFrame, content: str = "content") -> DataFrame:
+    """``vec_id, codes, scale, bits`` of index files in a binary column; rows of a plain index are named by their place."""
+    ship(files.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                codes, scales, bits, ids = loads(raw)
+                ids = np.arange(len(codes)) if ids is None else ids
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, max(1, codes.shape[1]), dtype=np.int32)), pa.array(codes.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), lists, pa.array(scales.astype(np.float64)), pa.array(np.full(len(codes), bits, np.int32))], ["vec_id", "codes", "scale", "bits"])
+
+    return files.select(content).mapInArrow(work, "vec_id long, codes array<tinyint>, scale double, bits int")

@@ -38,22 +38,32 @@ def sessions(requests: DataFrame, idle: str = "5 minutes", late: str = "10 minut
     return s.agg(F.count(F.lit(1)).alias("n")).select("partition_key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def tracker(requests: DataFrame) -> DataFrame:
-    """Each job's count, failures and last event, updated with every batch; state is one row a key."""
+def tracker(requests: DataFrame, idle_s: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """Each job's count, failures and last event, updated with every batch; state is one row a key.
+
+    A job without events for ``idle_s`` seconds of the watermark is told once more, as ``expired``, and forgotten.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, failed, last_ts, last = state.get if state.exists else (0, 0, 0, "")
-        for b in batches:
-            n += len(b)
-            failed += int((b["event_type"] == "error").sum())
-            b = b.sort_values(["ts", "request_id"])
-            at = int(b["ts"].iloc[-1].value // 1000)
-            if at >= last_ts:
-                last_ts, last = at, str(b["event_type"].iloc[-1])
-        state.update((n, failed, last_ts, last))
-        yield pd.DataFrame({"partition_key": [key[0]], "n": [n], "failed": [failed], "last_event": [last]})
-
-    return requests.groupBy("partition_key").applyInPandasWithState(update, "partition_key string, n long, failed long, last_event string", "n long, failed long, last_ts long, last string", "update", GroupStateTimeout.NoTimeout)
+        expired = state.hasTimedOut
+        if expired:
+            state.remove()
+        else:
+            for b in batches:
+                n += len(b)
+                failed += int((b["event_type"] == "error").sum())
+                b = b.sort_values(["ts", "request_id"])
+                at = int(b["ts"].iloc[-1].value // 1000)
+                if at >= last_ts:
+                    last_ts, last = at, str(b["event_type"].iloc[-1])
+            state.update((n, failed, last_ts, last))
+            state.setTimeoutTimestamp(max(last_ts // 1000 + idle_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"partition_key": [key[0]], "n": [n], "failed": [failed], "last_event": [last], "expired": [expired]})
+
+    return requests.withWatermark("ts", late).groupBy("partition_key").applyInPandasWithState(
+        update, "partition_key string, n long, failed long, last_event string, expired boolean", "n long, failed long, last_ts long, last string", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
