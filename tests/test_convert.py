@@ -339,3 +339,15 @@ def test_pdf_edges():
 
     rows = bytes([0, 1, 2, 3]) + bytes([1, 5, 1, 1]) + bytes([2, 1, 1, 1]) + bytes([4, 1, 0, 0])
     assert list(_predicted(rows, {"Predictor": 12, "Columns": 3})) == [1, 2, 3, 5, 6, 7, 6, 7, 8, 7, 7, 8]
+
+
+def test_page_markdown(spark, sf_dir):
+    """The query's rows are what the converters make of each page."""
+    from verdigris.plans.documents import QUERIES
+
+    rows = {r.page_id: r for r in QUERIES["page_markdown"](spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        want = C.convert((p.html or "").encode(), C.Info(url=p.url, mime_type="text/html"))
+        assert p.html is None or (rows[p.page_id].markdown, rows[p.page_id].title, rows[p.page_id].error) == want

@@ -8,6 +8,7 @@ from verdigris.functions import text as X
 from verdigris.operators import catalog as C
 from verdigris.operators import documents as D
 from verdigris.session import load
+from verdigris.sources.convert import convert_files
 
 
 def doc_route(spark, d):
@@ -39,6 +40,13 @@ def html_links(spark, d):
     return p.select("page_id", F.size("links").cast("long").alias("n_links"), F.array_join("links", " ").alias("links"))
 
 
+def page_markdown(spark, d):
+    """Every page by the converter of its address."""
+    pages = load(spark, d, "pages").withColumn("mime", F.lit("text/html"))
+    out = convert_files(pages, "page_id", "html", url="url", mime="mime")
+    return out.select(F.col("path").cast("long").alias("page_id"), "title", "markdown", "error")
+
+
 def html_metadata(spark, d):
     p = load(spark, d, "pages")
     head = F.concat(F.lit('<meta name="Author" content="Ann Lee; Bo Ray and Cy"><meta property="dc.date" content="2024-03-24"><meta name="keywords" content="One, two|ONE;'), F.col("page_id"), F.lit('"><meta name=\'description\' content=\'A &amp; B\'><p>ISBN: 978-1-4028-9462-6</p>'))
@@ -183,7 +191,7 @@ def charset_sniff(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_route, doc_mime, src_dispatch, html_title, html_text, html_links, html_metadata, video_metadata, url_parts, url_redirect, data_uri_decode, md_escape, md_table, csv_table, nb_from_json, comment_strip, partial_numbers,
+        doc_route, doc_mime, src_dispatch, html_title, html_text, html_links, html_metadata, page_markdown, video_metadata, url_parts, url_redirect, data_uri_decode, md_escape, md_table, csv_table, nb_from_json, comment_strip, partial_numbers,
         isbn_check, isbn_find, pdf_date_parse, tags_distinct_ci, author_split, numeric_times, catalog_rows, catalog_sections, catalog_counts, catalog_json, scan_progress, candidate_top12, charset_sniff,
     )
 }
