@@ -124,20 +124,21 @@ def meters(reqs: DataFrame, tries: DataFrame, kept: DataFrame, aged: DataFrame,
     return out
 
 
-#: Steps of each phase of the handlers' jobs.
-PHASES: dict[str, list[tuple[str, int]]] = {
-    "job": [("Initializing", 2), ("Loading data", 3), ("Processing", 6), ("Validating results", 3), ("Finalizing", 2)],
-    "scheduled": [("validate-schedule", 2), ("acquire-resources", 2), ("execute", 5), ("post-process", 3), ("cleanup", 1)],
-    "email": [("Composing message", 2), ("Validating address", 2), ("Connecting to SMTP", 1), ("Delivering", 2), ("Confirming receipt", 1)],
-    "sms": [("Routing to carrier", 1), ("Sending message", 2), ("Awaiting delivery", 2)],
-    "push": [("Validating token", 1), ("Dispatching", 2), ("Awaiting ack", 1)],
-    "generate": [("Collecting data", 3), ("Building structure", 3), ("Applying formatting", 2), ("Finalising", 2)],
-    "review": [("Validating content", 3), ("Compliance check", 3), ("Approval workflow", 2)],
-    "publish": [("Packaging report", 2), ("Uploading to target", 3), ("Notifying recipients", 2)],
-    "extract": [("Reading source", 2), ("Tokenising", 3), ("Cleaning tokens", 3), ("Summarising", 2)],
-    "transform": [("Parsing raw text", 2), ("Extracting keywords", 4), ("Scoring sentiment", 2), ("Normalising", 2)],
-    "index": [("Preparing index entry", 2), ("Writing tags", 3), ("Committing index", 2), ("Verifying entry", 1)],
+#: Phases of each handler's jobs; ``x3``: in three steps.
+_PHASES = {
+    "job": "Initializing x2; Loading data x3; Processing x6; Validating results x3; Finalizing x2",
+    "scheduled": "validate-schedule x2; acquire-resources x2; execute x5; post-process x3; cleanup",
+    "email": "Composing message x2; Validating address x2; Connecting to SMTP; Delivering x2; Confirming receipt",
+    "sms": "Routing to carrier; Sending message x2; Awaiting delivery x2",
+    "push": "Validating token; Dispatching x2; Awaiting ack",
+    "generate": "Collecting data x3; Building structure x3; Applying formatting x2; Finalising x2",
+    "review": "Validating content x3; Compliance check x3; Approval workflow x2",
+    "publish": "Packaging report x2; Uploading to target x3; Notifying recipients x2",
+    "extract": "Reading source x2; Tokenising x3; Cleaning tokens x3; Summarising x2",
+    "transform": "Parsing raw text x2; Extracting keywords x4; Scoring sentiment x2; Normalising x2",
+    "index": "Preparing index entry x2; Writing tags x3; Committing index x2; Verifying entry",
 }
+PHASES: dict[str, list[tuple[str, int]]] = {h: [(name, int(n or 1)) for name, _, n in (p.partition(" x") for p in own.split("; "))] for h, own in _PHASES.items()}
 
 
 def phase_steps(jobs: DataFrame, handler: str = "handler") -> DataFrame:

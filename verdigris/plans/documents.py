@@ -49,7 +49,7 @@ def page_markdown(spark, d):
 
 def html_metadata(spark, d):
     p = load(spark, d, "pages")
-    head = F.concat(F.lit('<meta name="Author" content="Ann Lee; Bo Ray and Cy"><meta property="dc.date" content="2024-03-24"><meta name="keywords" content="One, two|ONE;'), F.col("page_id"), F.lit('"><meta name=\'description\' content=\'A &amp; B\'><p>ISBN: 978-1-4028-9462-6</p>'))
+    head = F.concat(F.lit('<meta name="Author" content="Ann Lee; Bo Ray and Cy"><meta property="dc.date" content="2024-03-24"><meta name="keywords" content="One, two|ONE;'), F.col("page_id"), F.lit('"><meta name=\'description\' content=\'A &amp; B\'><p>ISBN: 978-0-306-40615-7</p>'))
     return D.page_metadata(p.select("page_id", F.concat(head, "html").alias("html")))
 
 
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     "html_title": f"SELECT page_id, {_title('html')} AS title FROM pages",
     "html_text": f"SELECT page_id, {_strip(_COMMENTS.format(_no('html', 'script', 'style')))} AS text FROM pages",
     "html_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1) AS l FROM pages) SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM l""",
-    "html_metadata": f"SELECT page_id, {_title('html')} AS title, 'Ann Lee; Bo Ray; Cy' AS authors, NULL::VARCHAR AS publisher, 'A & B' AS description, 'One, two, ' || page_id AS tags, '9781402894626' AS isbn FROM pages",
+    "html_metadata": f"SELECT page_id, {_title('html')} AS title, 'Ann Lee; Bo Ray; Cy' AS authors, NULL::VARCHAR AS publisher, 'A & B' AS description, 'One, two, ' || page_id AS tags, '9780306406157' AS isbn FROM pages",
     "video_metadata": f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Video ' || page_id ELSE {_title('html')} END AS title, CASE WHEN page_id % 2 = 0 THEN 'say \\"hi\\"' ELSE 'plain' END AS description, NULL::VARCHAR AS keywords FROM pages""",
     "url_parts": f"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, {_PATH} AS path, nullif(url_decode(regexp_extract(url, '[?&]page=([^&#]*)', 1)), '') AS page, nullif(url_decode(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1)), '') AS utm_source FROM pages",
     "url_redirect": "SELECT page_id, url AS target FROM pages",
