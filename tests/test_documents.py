@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import documents as D
+from verdigris.plans.documents import QUERIES
 
 
 def test_numbers_after_an_isbn(spark):
@@ -19,3 +20,13 @@ def test_numbers_after_an_isbn(spark):
     assert {r.t: r.isbn for r in df.select("t", X.find_isbn(F.col("t")).alias("isbn")).collect()} == want
     page = spark.createDataFrame([(1, "<p>ISBN: 978-0-306-40615-7</p><title>4501042323994846 Anth</title>")], "page_id long, html string")
     assert D.page_metadata(page).first().isbn == "9780306406157"
+
+
+def test_scan_of_equal_addresses_is_repeatable(spark, tmp_path):
+    """Pages of one address are placed by page_id, however the table is laid out."""
+    rows = [(i, f"http://h/{'Aa'[i % 2]}{i // 40}") for i in range(200)]
+    want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1].lower(), r[1], r[0])), 1)}
+    for name, own in (("up", rows), ("down", rows[::-1]), ("mixed", rows[::3] + rows[2::3] + rows[1::3])):
+        spark.createDataFrame(own, "page_id long, url string").repartition(3, "page_id").write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        found = QUERIES["scan_progress"](spark, f"{tmp_path}/{name}").collect()
+        assert {r.page_id: r.current for r in found} == want and {r.total for r in found} == {200}

@@ -23,11 +23,14 @@ def choose_columns(wanted: str | None) -> tuple[list[str], list[str]]:
     return [n for n in names if n in COLUMNS] or list(DEFAULT), [n for n in names if n not in COLUMNS]
 
 
-def scan_order(files: DataFrame, path: str = "path") -> DataFrame:
-    """1-based place and total of each file, by path whatever its case; placed within ranges of paths, not in one task."""
+def scan_order(files: DataFrame, path: str = "path", ties: tuple[str, ...] = ()) -> DataFrame:
+    """1-based place and total of each file, by path whatever its case; placed within ranges of paths, not in one task.
+
+    Equal paths are placed by the columns ``ties``; without them their order is open and may change from run to run.
+    """
     total = files.count()
     files = files.withColumn("_low", F.lower(path))
-    ranked = bucketed_rank(files, [], range_bucket(files, "_low"), ["_low", path], "_i")
+    ranked = bucketed_rank(files, [], range_bucket(files, "_low"), ["_low", path, *ties], "_i")
     return ranked.withColumns({"current": F.col("_i") + 1, "total": F.lit(total).cast("long")}).drop("_i", "_low")
 
 
