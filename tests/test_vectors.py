@@ -121,6 +121,59 @@ def test_a_task_keeps_its_best():
             assert best.ids[:, q].tolist() == ids[np.lexsort((ids, -scores[:, q]))][:k].tolist()
 
 
+def test_best_of_odd_scores():
+    """Scores that are no numbers come first, as in an ORDER BY; scores equal after rounding go by id, whatever the order of rows."""
+    rng = np.random.default_rng(6)
+    scores = rng.normal(size=(700, 5))
+    scores[rng.random(scores.shape) < 0.02] = np.nan
+    scores[rng.random(scores.shape) < 0.02] = -np.inf
+    scores[100:600, 1] = 3 + rng.normal(size=500) * 1e-7
+    ids = rng.permutation(700)
+    for k in (1, 20, 300, 690):
+        best = V._Best(5, k)
+        for a in range(0, 700, 90):
+            best.add(ids[a : a + 90], scores[a : a + 90])
+        for q in range(5):
+            order = sorted(range(700), key=lambda i: (not np.isnan(s := scores[i, q]), 0 if np.isnan(s) else -round(s, 6) if np.isfinite(s) else -s, ids[i]))
+            assert best.ids[:, q].tolist() == ids[order[:k]].tolist()
+
+
+def test_memory_of_a_task_is_bounded(spark, monkeypatch):
+    """A task's arrays don't grow with rows x queries; tiles give what all scores at once would."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    v = unit(20_000, 8).astype(np.float32)
+    df = frame(spark, v[:2])
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append(f) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(V, "_blocks", lambda *_: [(np.arange(len(v)), v.astype(np.float64))])
+    codes, scale = Q.encode(v, 4)
+    lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, 8, dtype=np.int32), pa.array(a.reshape(-1)))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), lists(v), lists(codes), pa.array(scale)], ["vec_id", "embedding", "codes", "scale"])
+    batches = [rows.slice(a, 2048) for a in range(0, 6144, 2048)]
+    near = Q.codebook(4, 8)[1].astype(np.float64)[codes[:6144]] * scale[:6144, None]
+    searches = [
+        (lambda: V.top_k(df, df, 3), lambda q: v[:6144].astype(np.float64) @ v[q].astype(np.float64)),
+        (lambda: V.top_k_quantized(df.withColumns({"codes": F.lit(None), "scale": F.lit(None)}), df, 4, 3), lambda q: near @ (Q.rotation(8).astype(np.float64) @ v[q].astype(np.float64))),
+        (lambda: V.top_k_quantized(df.withColumns({"codes": F.lit(None), "scale": F.lit(None)}), df, 4, 3, lut=True), None),
+    ]
+    for search, brute in searches:
+        taken.clear()
+        search()
+        tracemalloc.start()
+        out = pa.Table.from_batches(list(taken[0](iter(batches))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6, peak
+        assert out.num_rows == 3 * len(v)
+        for q in (0, 777, 19_999) if brute else ():
+            scores = np.round(brute(q), 6) + 0.0
+            want = np.lexsort((np.arange(6144), -scores))[:3].tolist()
+            assert out.filter(pa.compute.equal(out["query_id"], q))["vec_id"].to_pylist() == want
+
+
 def test_recall_targets(spark):
     """Recall among 10 of the codes' scores, as measured on the published algorithm."""
     from verdigris.plans.vectors import QUERIES

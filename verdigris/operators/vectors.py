@@ -2,12 +2,13 @@
 
 A search is one pass over the data for a block of queries: each task scores its batches against the block by matrix
 products and keeps its own k best, so only queries x k x tasks rows are shuffled to the final ranking. A block holds
-queries of ``BLOCK_BYTES`` at most; more queries make more passes.
+queries of ``BLOCK_BYTES`` at most, with what a task keeps for each of them; more queries make more passes. Scores are
+made for tiles of ``TILE`` rows x queries, so a task's memory doesn't grow with the number of rows or queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from verdigris.functions import quantizer as Q
 from verdigris.session import ship
 
 BLOCK_BYTES = 32 << 20
+TILE = 1 << 19
 PARTIAL = "query_id long, vec_id long, score double"
 
 
@@ -36,10 +38,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, in blocks of bounded size."""
+def _blocks(queries: DataFrame, k: int, kept: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks of bounded size. ``kept``: bytes that a task keeps for each coordinate of a query, besides its k best."""
     n, width = queries.select(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    blocks = max(1, -(-n * width * 8 // BLOCK_BYTES))
+    blocks = max(1, min(n, -(-n * (width * (8 + kept) + 16 * k) // BLOCK_BYTES)))
     for b in range(blocks):
         own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = own.select("query_id", "embedding").orderBy("query_id").toArrow()
@@ -47,6 +49,12 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows.column(0).to_numpy(), matrix(rows.column(1).combine_chunks()).astype(np.float64)
 
 
+def _shape(n_queries: int, k: int) -> tuple[int, int]:
+    """Rows and queries of a tile: 256 to 4,096 rows, as many as k within that, so that merging into the k best stays cheap."""
+    rows = min(4096, max(256, k, TILE // max(1, n_queries)))
+    return rows, max(1, min(n_queries, TILE // max(rows, k)))
+
+
 class _Best:
     """A task's k best rows for each query so far; of equal scores the smaller id."""
 
@@ -54,27 +62,41 @@ class _Best:
         self.k, self.ids, self.scores = k, np.zeros((0, n_queries), np.int64), np.zeros((0, n_queries))
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores``: rows x queries. Only rows that reach the k-th best score so far are merged."""
-        scores = np.round(scores, 6) + 0.0
-        if len(scores) > self.k:
-            # rows that no query can want are left out before anything is sorted
-            least = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            if len(self.scores) == self.k:
-                least = np.maximum(least, self.scores[-1])
-            some = (scores >= least).any(axis=1)
-            ids, scores = ids[some], scores[some]
+        """``scores``: rows x queries. Only scores that reach the k-th best so far, before they are rounded, are merged."""
+        if (few := self.k - len(self.scores)) > 0:
+            every = np.broadcast_to(ids[:few, None], scores[:few].shape)
+            self.ids, self.scores = self._merged(self.ids, self.scores, every, _rounded(scores[:few]))
+            ids, scores = ids[few:], scores[few:]
         if not len(ids):
             return
-        ids = np.concatenate([self.ids, np.broadcast_to(ids[:, None], scores.shape)])
-        scores = np.concatenate([self.scores, scores])
-        top = np.lexsort((ids, -scores), axis=0)[: self.k]
-        self.ids, self.scores = np.take_along_axis(ids, top, 0), np.take_along_axis(scores, top, 0)
+        last = self.scores[-1]
+        row, query = np.nonzero(~(scores < last - 1e-6 - 1e-12 * np.abs(last)))
+        if not len(row):
+            return
+        order = np.argsort(query, kind="stable")
+        row, query = row[order], query[order]
+        some, begin, count = np.unique(query, return_index=True, return_counts=True)
+        # the queries' new rows one below the other, filled up with what can't be among the best
+        new_ids = np.full((count.max(), len(some)), np.iinfo(np.int64).max)
+        new = np.full(new_ids.shape, -np.inf)
+        at = np.arange(len(row)) - np.repeat(begin, count), np.repeat(np.arange(len(some)), count)
+        new_ids[at], new[at] = ids[row], _rounded(scores[row, query])
+        self.ids[:, some], self.scores[:, some] = self._merged(self.ids[:, some], self.scores[:, some], new_ids, new)
+
+    def _merged(self, ids: np.ndarray, scores: np.ndarray, more_ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more])
+        top = np.lexsort((ids, -scores, ~np.isnan(scores)), axis=0)[: self.k]
+        return np.take_along_axis(ids, top, 0), np.take_along_axis(scores, top, 0)
 
     def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
         columns = (np.repeat(query_ids, len(self.ids)), self.ids.T.reshape(-1), self.scores.T.reshape(-1))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, 6) + 0.0
+
+
 def _ranked(partials: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return partials.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -85,23 +107,29 @@ def _check_k(k: int) -> None:
         raise ValueError("k must not be negative")
 
 
-def _search(data: DataFrame, queries: DataFrame, k: int, scorer) -> DataFrame:
-    """``scorer(batch, query vectors)`` gives scores, rows x queries."""
+def _search(data: DataFrame, queries: DataFrame, k: int, read: Callable, prepare: Callable, kept: int = 0) -> DataFrame:
+    """``read(batch)`` gives what is scored of some rows; ``prepare(query vectors)``, once for each tile of queries, a function of it with scores, rows x queries."""
     _check_k(k)
     spark = data.sparkSession
     ship(spark)
     out = spark.createDataFrame([], PARTIAL)
     if k == 0:
         return _ranked(out, 0)
-    for ids, vectors in _blocks(queries):
+    for ids, vectors in _blocks(queries, k, kept):
 
         def work(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
-            best = _Best(len(ids), k)
+            height, width = _shape(len(ids), k)
+            tiles = []
             for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    best.add(part.column("vec_id").to_numpy(), scorer(part, vectors))
-            yield best.rows(ids)
+                for at in range(0, b.num_rows, height):
+                    part = b.slice(at, height)
+                    own, found = part.column("vec_id").to_numpy(), read(part)
+                    if not tiles:
+                        tiles = [(ids[q : q + width], prepare(vectors[q : q + width]), _Best(len(ids[q : q + width]), k)) for q in range(0, len(ids), width)]
+                    for _, score, best in tiles:
+                        best.add(own, score(found))
+            for own, _, best in tiles:
+                yield best.rows(own)
 
         out = out.union(data.mapInArrow(work, PARTIAL))
     return _ranked(out, k)
@@ -109,7 +137,7 @@ def _search(data: DataFrame, queries: DataFrame, k: int, scorer) -> DataFrame:
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact inner-product top-k: ``query_id, rank, vec_id, score`` (rounded to 6; ties by vec_id)."""
-    return _search(data.select("vec_id", "embedding").filter("embedding is not null"), queries, k, lambda b, q: matrix(b.column("embedding")).astype(np.float64) @ q.T)
+    return _search(data.select("vec_id", "embedding").filter("embedding is not null"), queries, k, lambda b: matrix(b.column("embedding")).astype(np.float64), lambda q: lambda v: v @ q.T)
 
 
 def encode(data: DataFrame, bits: int = 4) -> DataFrame:
@@ -133,20 +161,35 @@ def encode(data: DataFrame, bits: int = 4) -> DataFrame:
 def top_k_quantized(codes: DataFrame, queries: DataFrame, bits: int = 4, k: int = 10, lut: bool = False) -> DataFrame:
     """Top-k over codes: the original vectors aren't read. ``lut``: with 8-bit look-up tables."""
 
-    def scorer(b: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-        c = matrix(b.column("codes"))
-        scale = b.column("scale").to_numpy()
-        dim = c.shape[1]
-        if lut:
-            t, step, bias = Q.tables(q, bits)
-            total = np.zeros((len(c), len(q)))
-            for j in range(dim):
-                total += t[:, j, :].T[c[:, j]]
-            return (total * step + bias) * scale[:, None]
-        rotated = q @ Q.rotation(dim).astype(np.float64).T
-        return Q.codebook(bits, dim)[1].astype(np.float64)[c] @ rotated.T * scale[:, None]
-
-    return _search(codes, queries, k, scorer)
+    def coded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return matrix(b.column("codes")), b.column("scale").to_numpy()[:, None]
+
+    def near(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        c, scale = coded(b)
+        return Q.codebook(bits, c.shape[1])[1].astype(np.float64)[c], scale
+
+    def product(q: np.ndarray) -> Callable:
+        rotated = q @ Q.rotation(q.shape[1]).astype(np.float64).T
+        return lambda found: found[0] @ rotated.T * found[1]
+
+    def looked_up(q: np.ndarray) -> Callable:
+        some = max(1, TILE // (q.shape[1] << bits))
+        t, step, bias = (np.concatenate(x) for x in zip(*(Q.tables(q[a : a + some], bits) for a in range(0, len(q), some)), strict=True))
+        # sums of 257 entries fit 16 bits
+        t = np.ascontiguousarray(t.transpose(1, 2, 0), dtype=np.uint16 if q.shape[1] <= 257 else np.uint32)
+
+        def score(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+            c, scale = found
+            total = np.zeros((len(c), len(q)), t.dtype)
+            for levels, column in zip(t, c.T, strict=True):
+                total += levels[column]
+            return (total * step + bias) * scale
+
+        return score
+
+    if lut:
+        return _search(codes, queries, k, coded, looked_up, kept=4 << bits)
+    return _search(codes, queries, k, near, product, kept=8)
 
 
 def allowed(data: DataFrame, allow: DataFrame) -> DataFrame:
