@@ -30,3 +30,17 @@ def test_scan_of_equal_addresses_is_repeatable(spark, tmp_path):
         spark.createDataFrame(own, "page_id long, url string").repartition(3, "page_id").write.parquet(f"{tmp_path}/{name}/pages.parquet")
         found = QUERIES["scan_progress"](spark, f"{tmp_path}/{name}").collect()
         assert {r.page_id: r.current for r in found} == want and {r.total for r in found} == {200}
+
+
+def test_csv_fields_are_found_once(spark, sf_dir):
+    """A table's fields are one expression of the plan, not one for each use of them; ragged, quoted and empty texts keep their tables."""
+    plan = QUERIES["csv_table"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract_all") == 1
+    want = {
+        'a,b\n1\n"x ""y"", z",2,3\n': '| a | b |  |\n| --- | --- | --- |\n| 1 |  |  |\n| x "y", z | 2 | 3 |',
+        "a\r\n\r\nb|c": "| a |\n| --- |\n| b\\|c |",
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.m for r in df.select("t", D.csv_markdown(F.col("t")).alias("m")).collect()} == want
